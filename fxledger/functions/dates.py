@@ -56,9 +56,15 @@ def epoch_to_day(c: Column | str) -> Column:
 
 
 def epoch_seconds_to_ts(c: Column | str) -> Column:
-    """Epoch seconds -> naive UTC timestamp (keeps the time of day); bad -> NULL."""
+    """Epoch seconds -> naive UTC timestamp (keeps the time of day); bad -> NULL.
+
+    Naive epoch plus a day-time interval: independent of the session zone.
+    """
     secs = _c(c).try_cast("bigint")
-    return F.timestampadd("SECOND", secs, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    days = _floor_div(secs, 86400)
+    rest = (secs - days.cast("bigint") * 86400).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(days=days, secs=rest)
 
 
 def is_business_day(d: Column, holidays: Sequence[str] = PUBLIC_HOLIDAYS) -> Column:

@@ -30,6 +30,16 @@ from fxledger.schema import CONVERT_COLUMNS, require_columns
 CURRENCY_TYPE = "CURRENCY"
 
 
+def enrich(prices: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Attach ``type`` and ``currency`` from the instruments when the bars lack
+    them (left join on ticker; the planner broadcasts the instrument side only
+    when its estimated size is under the broadcast threshold)."""
+    need = [c for c in ("type", "currency") if c not in prices.columns]
+    if not need:
+        return prices
+    return prices.join(instruments.select("ticker", *need), "ticker", "left")
+
+
 def split_by_type(df: DataFrame, fx_type: str = CURRENCY_TYPE) -> tuple[DataFrame, DataFrame]:
     """(securities, fx rows).  A missing type counts as a security."""
     is_fx = F.col("type").eqNullSafe(F.lit(fx_type))

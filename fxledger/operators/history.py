@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fxledger.functions.numeric import is_number
 from fxledger.functions.ranges import missing_ranges
@@ -91,11 +91,13 @@ def upsert(stored: DataFrame, fresh: DataFrame, order: str = "ord") -> DataFrame
     """Stored bars merged with fresh ones; per (ticker, date) the fresh bar wins,
     and within one side the later arrival wins.  Incomplete rows are dropped
     first.  One aggregation, partial on the map side."""
+    ord_type = next((d.schema[order].dataType for d in (fresh, stored) if order in d.columns),
+                    T.LongType())
+
     def side(df: DataFrame, src: int) -> DataFrame:
-        ord_col = F.col(order).cast("long") if order in df.columns else F.lit(None).cast("long")
-        return (drop_incomplete(coerce_prices(df.select("ticker", "old_price", "date")
-                                              .withColumn("_ord", ord_col)))
-                .withColumn("_src", F.lit(src)))
+        ord_col = F.col(order) if order in df.columns else F.lit(None).cast(ord_type)
+        bars = df.select("ticker", "old_price", "date", ord_col.alias("_ord"))
+        return drop_incomplete(coerce_prices(bars)).withColumn("_src", F.lit(src))
 
     both = side(stored, 0).unionByName(side(fresh, 1))
     return (both.groupBy("ticker", "date")

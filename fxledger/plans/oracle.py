@@ -100,12 +100,337 @@ def conversion_ctes(src: str = "d_raw", fx: str = "fxrows") -> list[str]:
     return [SEC.format(src=src), FXROWS.format(src=src), RATES.format(fx=fx), ASOF]
 
 
-CONVERT_PRICES = (with_views(V_PX, V_FX, V_RAW, D_RAW, *conversion_ctes()) + """
+TEXT_PRICES = """t as (
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+         case when l_linenumber = 7 then 'n/a' when l_linenumber = 6 then ''
+              else cast(l_extendedprice as varchar) end as price_text
+  from lineitem)"""
+
+EV = """ev as (
+  select 'U' || cast(user_id as varchar) as ticker, value as old_price, cast(ts as date) as date,
+         event_id as ord, ts, event_id from events)"""
+
+D_PX = """d_px as (
+  select ticker, date, max_by(old_price, ord) as old_price from v_px group by ticker, date)"""
+
+REQ = """req as (
+  select upper(symbol) as ticker, min(pos) as pos from v_req where symbol is not null
+  group by upper(symbol))"""
+
+VALID = """valid as (
+  select * from {inst} where length(ticker) > 0 and type <> 'Unknown' and currency <> 'Unknown'),
+validated as (select r.pos, v.ticker, v.earliest_ts, v.type, v.currency, v.bid
+              from req r join valid v on r.ticker = v.ticker)"""
+
+NEED = f"""need as (
+  select distinct fx_ticker from (select {FX_SYMBOL.format(c='currency')} as fx_ticker from validated)
+  where fx_ticker is not null and fx_ticker <> '-'
+    and fx_ticker not in (select ticker from validated))"""
+
+N_ALL = "n_all as (select * from n_inst union all select * from n_fx_inst)"
+
+BUSINESS_DAY = "isodow(x) < 6 and strftime(x, '%m-%d') not in ('01-01', '12-25', '12-26')"
+
+
+def roll_fwd(d: str) -> str:
+    return (f"list_min(list_filter(list_transform(range(0, 8), lambda k: ({d}) + cast(k as integer)),"
+            f" lambda x: {BUSINESS_DAY}))")
+
+
+def roll_back(d: str) -> str:
+    return (f"list_max(list_filter(list_transform(range(0, 8), lambda k: ({d}) - cast(k as integer)),"
+            f" lambda x: {BUSINESS_DAY}))")
+
+
+def weekdays(a: str, b: str) -> str:
+    return (f"cast(len(list_filter(generate_series({a}, {b}, interval 1 day), "
+            f"lambda x: isodow(x) < 6)) as integer)")
+
+
+def gaps(src: str, as_of: str) -> str:
+    """Interval difference of (ticker, s, e, f, l) rows, as three branches."""
+    return f"""gaps as (
+  select * from (
+    select ticker, s as gap_start, e as gap_end from {src} where s <= e and (f is null or l is null)
+    union all
+    select ticker, s, least(e, least(f, l) - 1) from {src}
+    where s <= e and f is not null and l is not null and s < least(f, l)
+      and s <= least(e, least(f, l) - 1)
+    union all
+    select ticker, greatest(s, greatest(f, l) + 1), e from {src}
+    where s <= e and f is not null and l is not null and e > greatest(f, l)
+      and greatest(s, greatest(f, l) + 1) <= e)
+  where gap_start <> date '{as_of}')"""
+
+
+def fill_ctes(src: str) -> str:
+    """Calendar fill of the '=X' symbols of ``src(ticker, date, old_price)``."""
+    return f"""fxspan as (select ticker, min(date) as lo, max(date) as hi from {src}
+               where upper(ticker) like '%=X%' group by ticker),
+grid as (select ticker, cast(unnest(generate_series(lo, hi, interval 1 day)) as date) as date
+         from fxspan),
+joined as (select g.ticker, g.date, h.old_price, h.ticker is null as filled
+           from grid g left join {src} h on g.ticker = h.ticker and g.date = h.date),
+fxfill as (select ticker, date, last_value(old_price ignore nulls) over (
+               partition by ticker order by date rows between unbounded preceding and current row)
+             as old_price, filled from joined)"""
+
+
+CONV = """conv as (
+  select ticker, old_price * rate as price, date from rated where rate is not null
+  union all select ticker, old_price as price, date from fxrows)"""
+
+V_RAW_NO_EUR = ("v_raw as (select * from v_px union all "
+                "select * from v_fx where ticker <> 'EURGBP=X')")
+
+COMPLETE = "old_price is not null and not isnan(old_price) and date is not null"
+
+
+def convert_query(tail: str, eur: bool = True, extra: tuple[str, ...] = ()) -> str:
+    return with_views(V_PX, V_FX, V_RAW if eur else V_RAW_NO_EUR, D_RAW,
+                      *conversion_ctes(), *extra) + tail
+
+
+CONVERT_PRICES = convert_query("""
 select ticker, old_price * rate as price, date from rated where rate is not null
 union all select ticker, old_price as price, date from fxrows""")
 
+COERCED = ("case when isnan(try_cast(price_text as double)) then null "
+           "else try_cast(price_text as double) end")
+
+BOOK_WINDOW = f"""win as (
+  select {roll_fwd("date '2001-11-01' - cast(round_even(0.5 * 365.25, 0) as integer)")} as wstart,
+         {roll_back("date '2001-11-01'")} as wend)"""
+
+PRICE_BOOK = with_views(
+    V_PX, V_FX, V_RAW, V_INST, V_REQ, N_INST, N_FX_INST, N_ALL, REQ, VALID.format(inst="n_all"),
+    NEED,
+    """full_set as (
+  select ticker, earliest_ts, type, currency, bid from validated
+  union all select v.ticker, v.earliest_ts, v.type, v.currency, v.bid
+  from need n join valid v on n.fx_ticker = v.ticker)""",
+    BOOK_WINDOW,
+    """targets as (
+  select f.ticker,
+         cast(greatest(cast(w.wstart as timestamp), coalesce(f.earliest_ts, cast(w.wstart as timestamp)))
+              as date) as fetch_start,
+         w.wend as fetch_end
+  from full_set f cross join win w
+  where f.earliest_ts is null or f.earliest_ts <= cast(w.wend as timestamp))""",
+    """store as (select ticker, date, max_by(old_price, ord) as old_price, max(ord) as ord
+          from v_raw where date <= date '2001-06-30' group by ticker, date)""",
+    "stored as (select * from store where ticker in (select ticker from targets))",
+    "cov as (select ticker, min(date) as f, max(date) as l from stored group by ticker)",
+    """rng as (select t.ticker, t.fetch_start as s, t.fetch_end as e, c.f, c.l
+        from targets t left join cov c on t.ticker = c.ticker)""",
+    gaps("rng", "2001-11-01"),
+    """fetched as (select r.ticker, r.old_price, r.date, r.ord from v_raw r
+            join gaps g on r.ticker = g.ticker and r.date between g.gap_start and g.gap_end)""",
+    f"""u as (select ticker, old_price, date, ord, 0 as src from stored where {COMPLETE}
+       union all select ticker, old_price, date, ord, 1 from fetched where {COMPLETE})""",
+    """hist as (select ticker, date, max_by(old_price, row(src, ord)) as old_price
+         from u group by ticker, date)""",
+    fill_ctes("hist"),
+    """bars as (select ticker, old_price, date from fxfill
+         union all select ticker, old_price, date from hist where upper(ticker) not like '%=X%')""",
+    "lastd as (select ticker, max(date) as ld from bars group by ticker)",
+    """quotes as (select l.ticker, f.bid as old_price, date '2001-11-01' as date
+           from lastd l join full_set f on l.ticker = f.ticker
+           where l.ld < date '2001-11-01' and f.bid is not null and not isnan(f.bid) and f.bid > 0)""",
+    """enriched as (
+  select a.ticker, a.old_price, a.date, f.type, f.currency, 0 as ord
+  from (select * from bars union all select * from quotes) a
+  left join full_set f on a.ticker = f.ticker)""",
+    *conversion_ctes(src="enriched"),
+    CONV,
+) + """select c.ticker, c.price, strftime(c.date, '%d/%m/%Y') as date
+from conv c cross join win w where c.date >= w.wstart"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "bar_normalise": f"""
+select 'U' || cast(user_id as varchar) as ticker, value as old_price, cast(ts as date) as date
+from events where value is not null and not isnan(value) and ts is not null""",
+        "coerce_numeric": with_views(TEXT_PRICES) + f"""
+select l_orderkey, l_linenumber, l_partkey, {COERCED} as old_price from t""",
+        "coerce_day": """
+select l_orderkey, l_linenumber, l_partkey,
+       cast(coalesce(try_strptime(txt, '%d/%m/%Y'), try_cast(txt as timestamp)) as date) as date
+from (select *, case when l_linenumber = 7 then 'n/a'
+                     when l_linenumber = 6 then strftime(l_shipdate, '%Y-%m-%d')
+                     else strftime(l_shipdate, '%d/%m/%Y') end as txt from lineitem)""",
+        "normalise_epoch": """
+select event_id, v as epoch_value,
+       cast(case when abs(v) < 10000000000 then make_timestamp(abs(v) * 1000000)
+                 else make_timestamp(abs(v) * 1000) end as date) as date
+from (select event_id,
+             case event_id % 3 when 0 then datediff('second', timestamp '1970-01-01', ts)
+                               when 1 then datediff('millisecond', timestamp '1970-01-01', ts)
+                               else -datediff('second', timestamp '1970-01-01', ts) end as v
+      from events)""",
+        "drop_incomplete": with_views(TEXT_PRICES) + f"""
+select * from (
+  select l_orderkey, l_linenumber, l_partkey, 'S' || cast(l_suppkey as varchar) as ticker,
+         {COERCED} as old_price, cast(l_shipdate as date) as date from t)
+where old_price is not null and date is not null and ticker is not null""",
+        "dedupe_last": with_views(V_PX) + """
+select ticker, date, max_by(old_price, ord) as old_price, max_by(type, ord) as type,
+       max_by(currency, ord) as currency
+from v_px group by ticker, date""",
+        "split_by_type": with_views(V_PX, V_FX, V_INST) + """
+select ticker, date, old_price, type,
+       case when type is not distinct from 'CURRENCY' then 'fx' else 'security' end as side
+from (select p.ticker, p.date, p.old_price, i.quote_type as type
+      from v_px p left join v_inst i on p.ticker = i.ticker
+      union all select ticker, date, old_price, type from v_fx)""",
+        "first_rate": with_views(V_FX, RATES.format(fx="v_fx")) + "select * from rates",
+        "fx_symbol": with_views(V_INST) + f"""
+select ticker, currency, {FX_SYMBOL.format(c='currency')} as fx_ticker from v_inst""",
+        "enrich_prices": with_views(V_PX, V_INST, N_INST) + """
+select p.ticker, p.old_price, p.date, n.type, n.currency
+from v_px p left join n_inst n on p.ticker = n.ticker""",
+        "asof_rates": convert_query("""
+select s.ticker, s.date, s.fx_ticker, a.rate
+from sec s left join asofr a on s.fx_ticker = a.fx_ticker and s.date = a.date"""),
+        "backfill_rates": convert_query("""
+select s.ticker, s.date, s.fx_ticker, f.rate,
+       case when f.fx_ticker is not null then f.asof_rate is null and f.rate is not null end
+         as backfilled
+from sec s left join filled f on s.fx_ticker = f.fx_ticker and s.date = f.date"""),
         "convert_prices": CONVERT_PRICES,
+        "unresolved_rates": convert_query("""
+select ticker, date, currency, fx_ticker from rated where rate is null""", eur=False),
+        "conversion_check": convert_query("""
+select c.ticker, c.date, c.price, r.rate * r.old_price as expected
+from c join rated r on c.ticker = r.ticker and c.date = r.date
+where abs(r.rate * r.old_price - c.price) > 1e-6""", extra=(
+            "c as (select ticker, old_price * rate as price, date from rated "
+            "where rate is not null)",)),
+        "conversion_summary": convert_query("""
+select count(*) as n_rows,
+       count(*) filter (where (fx_ticker is null or fx_ticker <> '-') and rate is not null)
+         as n_fx_converted,
+       count(*) filter (where fx_ticker = '-') as n_home,
+       count(*) filter (where rate is null) as n_unresolved
+from rated""", eur=False),
+        "date_coverage": convert_query("""
+select count(*) filter (where s = 1) as n_security_days,
+       count(*) filter (where f = 1) as n_fx_days,
+       count(*) filter (where s = 1 and f = 1) as n_common_days,
+       count(*) filter (where s = 1 and f = 0) as n_security_only_days,
+       count(*) filter (where s = 0 and f = 1) as n_fx_only_days
+from (select date, max(s) as s, max(f) as f
+      from (select date, 1 as s, 0 as f from sec union all select date, 0, 1 from fxrows)
+      group by date)"""),
+        "business_day_roll": f"""
+select d as day, {roll_fwd('d')} as rolled_start, {roll_back('d')} as rolled_end
+from (select distinct cast(o_orderdate as date) as d from orders)""",
+        "business_day_count": with_views(V_PX, D_PX) + f"""
+select ticker, first_date, last_date, {weekdays('first_date', 'last_date')} as n_business_days
+from (select ticker, min(date) as first_date, max(date) as last_date from d_px group by ticker)""",
+        "collection_window": f"""
+with w as (select distinct cast(o_orderdate as date) as as_of,
+                  cast(round_even(0.16 * 365.25, 0) as integer) as n_days from orders),
+r as (select as_of, n_days, {roll_fwd('as_of - n_days')} as start_date,
+             {roll_back('as_of')} as end_date from w)
+select as_of, n_days, start_date, end_date, {weekdays('start_date', 'end_date')} as n_business_days
+from r""",
+        "fx_calendar_fill": with_views(
+            V_FX, "d as (select ticker, date, max_by(old_price, ord) as old_price from v_fx "
+                  "group by ticker, date)", fill_ctes("d")) + "select * from fxfill",
+        "fx_fill_summary": with_views(
+            V_FX, "d as (select ticker, date, max_by(old_price, ord) as old_price from v_fx "
+                  "group by ticker, date)", fill_ctes("d")) + """
+select ticker, count(*) as n_days, count(*) filter (where filled) as n_filled
+from fxfill group by ticker""",
+        "append_provisional": with_views(V_PX, V_INST, N_INST, D_PX, """q as (
+  select l.ticker, n.bid as old_price, date '2001-11-01' as date
+  from (select ticker, max(date) as last_date from d_px group by ticker) l
+  join n_inst n on l.ticker = n.ticker
+  where l.last_date < date '2001-11-01' and n.bid is not null and not isnan(n.bid)
+    and n.bid > 0)""") + """
+select ticker, old_price, date, false as provisional from d_px
+union all select ticker, old_price, date, true as provisional from q""",
+        "instrument_normalise": with_views(V_INST, N_INST) + "select * from n_inst",
+        "validate_instruments": with_views(V_INST, V_REQ, N_INST, REQ, VALID.format(inst="n_inst"))
+        + "select * from validated",
+        "request_rejects": with_views(V_INST, V_REQ, N_INST, REQ) + """
+select * from (
+  select r.pos, r.ticker,
+         case when n.type is null then 'unknown symbol' when length(r.ticker) = 0 then 'empty symbol'
+              when n.type = 'Unknown' then 'missing type'
+              when n.currency = 'Unknown' then 'missing currency' end as reason
+  from req r left join n_inst n on r.ticker = n.ticker)
+where reason is not null""",
+        "required_fx": with_views(V_INST, V_REQ, N_INST, REQ, VALID.format(inst="n_inst"), NEED)
+        + "select fx_ticker from need",
+        "full_instrument_set": with_views(V_FX, V_INST, V_REQ, N_INST, N_FX_INST, N_ALL, REQ,
+                                          VALID.format(inst="n_all"), NEED) + """
+select pos, ticker, earliest_ts, type, currency, bid from validated
+union all
+select cast(null as bigint) as pos, v.ticker, v.earliest_ts, v.type, v.currency, v.bid
+from need n join valid v on n.fx_ticker = v.ticker""",
+        "store_coverage": with_views(V_PX, D_PX) + """
+select ticker, min(date) as first_date, max(date) as last_date, count(*) as n_days
+from d_px group by ticker""",
+        "store_status": with_views(V_INST, V_REQ, REQ, TEXT_PRICES, f"""raw as (
+  select 'S' || cast(l_suppkey as varchar) as ticker, {COERCED} as p,
+         cast(l_shipdate as date) as date from t)""", """st as (
+  select ticker, count(*) as n_rows,
+         count(*) filter (where date is not null and p is not null) as n_usable,
+         min(date) filter (where date is not null and p is not null) as first_date,
+         max(date) filter (where date is not null and p is not null) as last_date
+  from raw group by ticker)""") + """
+select r.ticker,
+       case when s.n_rows is null then 'not_found' when s.n_usable = 0 then 'empty'
+            else 'loaded' end as status,
+       s.first_date, s.last_date, coalesce(s.n_usable, 0) as n_days
+from req r left join st s on r.ticker = s.ticker""",
+        "history_summary": with_views(V_PX, D_PX) + """
+select count(*) as n_rows, count(distinct ticker) as n_symbols from d_px""",
+        "clip_to_listing": with_views(V_INST, N_INST) + """
+select ticker,
+       cast(greatest(timestamp '1996-01-01', coalesce(earliest_ts, timestamp '1996-01-01'))
+            as date) as fetch_start,
+       date '2000-06-30' as fetch_end
+from n_inst where earliest_ts is null or earliest_ts <= timestamp '2000-06-30'""",
+        "missing_ranges": with_views(
+            EV,
+            """sd as (select ticker, date, max_by(old_price, ord) as old_price from ev
+        where event_id % 3 <> 0 and date <= date '2024-01-20' and date >= date '2024-01-06'
+        group by ticker, date)""",
+            "cov as (select ticker, min(date) as f, max(date) as l from sd group by ticker)",
+            """rng as (select t.ticker, date '2024-01-01' as s, date '2024-01-30' as e, c.f, c.l
+        from (select distinct ticker from ev) t left join cov c on t.ticker = c.ticker)""",
+            gaps("rng", "2024-01-31")) + "select ticker, gap_start, gap_end from gaps",
+        "history_range_scan": with_views(V_PX, D_PX, V_INST, N_INST, """clip as (
+  select ticker,
+         cast(greatest(timestamp '1996-01-01', coalesce(earliest_ts, timestamp '1996-01-01'))
+              as date) as fetch_start,
+         date '2000-06-30' as fetch_end
+  from n_inst where earliest_ts is null or earliest_ts <= timestamp '2000-06-30')""") + """
+select p.ticker, p.date, p.old_price from d_px p
+join clip c on p.ticker = c.ticker and p.date between c.fetch_start and c.fetch_end""",
+        "upsert_prices": with_views(EV, f"""u as (
+  select ticker, old_price, date, ord, 0 as src from ev
+  where event_id % 3 <> 0 and date <= date '2024-01-20' and {COMPLETE}
+  union all
+  select ticker, old_price * cast(1.01 as double), date, ord, 1 from ev
+  where date >= date '2024-01-18' and {COMPLETE})""") + """
+select ticker, date, max_by(old_price, row(src, ord)) as old_price from u group by ticker, date""",
+        "store_roundtrip": with_views(EV) + f"""
+select ticker, max_by(old_price, ord) as old_price, date from ev where {COMPLETE}
+group by ticker, date""",
+        "store_expiry": with_views(
+            EV, "st as (select * from ev where event_id % 3 <> 0 and date <= date '2024-01-20')",
+            "d as (select ticker, date, max_by(old_price, ord) as old_price from st "
+            "group by ticker, date)",
+            "w as (select ticker, max(ts) as last_write from st group by ticker)") + """
+select d.ticker, d.date, d.old_price from d join w on d.ticker = w.ticker
+where w.last_write >= timestamp '2024-02-09 18:00:00' - interval 20 day""",
+        "export_rows": convert_query("""
+select ticker, price, strftime(date, '%d/%m/%Y') as date from conv
+where date >= date '2001-06-01'""", extra=(CONV,)),
+        "price_book": PRICE_BOOK,
     }
