@@ -38,22 +38,24 @@ def fill_summary(filled: DataFrame, marker: str = PAIR_SUFFIX) -> DataFrame:
                  F.count_if("filled").alias("n_filled")))
 
 
-def append_provisional(bars: DataFrame, instruments: DataFrame,
+def provisional_quotes(bars: DataFrame, instruments: DataFrame,
                        as_of: dt.date | str) -> DataFrame:
-    """Add a bar at ``as_of`` with the instrument's bid for each symbol whose
-    last bar is before ``as_of`` and whose bid is a number > 0.
-
-    The last day per symbol is an aggregate (partial, tiny output), joined to
-    the instrument bids; the result is unioned onto the bars.  Adds
-    ``provisional``.
-    """
+    """(ticker, old_price, date): a bar at ``as_of`` with the instrument's bid
+    for each symbol whose last bar is before ``as_of`` and whose bid is a
+    number > 0.  The last day per symbol is an aggregate (partial, one row
+    per symbol), joined to the instrument bids."""
     day = F.lit(as_of).cast("date")
     last = bars.groupBy("ticker").agg(F.max("date").alias("_last"))
     bid = F.col("bid")
-    quotes = (last.join(instruments.select("ticker", "bid"), "ticker")
-              .where((F.col("_last") < day) & is_number(bid) & (bid > 0))
-              .select("ticker", bid.alias("old_price"), day.alias("date"),
-                      F.lit(True).alias("provisional")))
+    return (last.join(instruments.select("ticker", "bid"), "ticker")
+            .where((F.col("_last") < day) & is_number(bid) & (bid > 0))
+            .select("ticker", bid.alias("old_price"), day.alias("date")))
+
+
+def append_provisional(bars: DataFrame, instruments: DataFrame,
+                       as_of: dt.date | str) -> DataFrame:
+    """``bars`` plus the provisional quotes; adds ``provisional``."""
+    quotes = provisional_quotes(bars, instruments, as_of).withColumn("provisional", F.lit(True))
     extra = [c for c in bars.columns if c not in ("ticker", "old_price", "date")]
     for c in extra:
         quotes = quotes.withColumn(c, F.lit(None).cast(bars.schema[c].dataType))
