@@ -56,22 +56,27 @@ def drop_incomplete(df: DataFrame, subset: Sequence[str] = ("ticker", "date", "o
     return df.na.drop(how="any", subset=list(subset))
 
 
-def _pick(df: DataFrame, keys: Sequence[str], order: str, agg) -> DataFrame:
-    values = [c for c in df.columns if c not in keys]
-    picked = agg(F.struct(*values), F.col(order)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
+def _pick(df: DataFrame, keys: Sequence[str], order: str, pick, bound) -> DataFrame:
+    values = [c for c in df.columns if c not in keys and c != order]
+    aggs = [pick(F.col(v), F.col(order)).alias(v) for v in values]
+    return (df.groupBy(*keys).agg(*aggs, bound(order).alias(order))
+            .select(*df.columns))
 
 
 def dedupe_last(df: DataFrame, keys: Sequence[str] = KEY, order: str = "ord") -> DataFrame:
-    """One row per key: the one that arrived last (greatest ``order``); the
-    order column is kept.
+    """One row per key: the one that arrived last (greatest ``order``, which
+    must be unique within a key); the order column is kept.
 
     An aggregate, not a window: map-side partial aggregation collapses a hot
-    key before the shuffle, so no key ever lands whole in one task.
+    key before the shuffle, so no key ever lands whole in one task.  One
+    ``max_by`` per value column keeps the aggregation buffer fixed-width when
+    the values and the order are numeric, so Spark uses a hash aggregate
+    (a struct buffer would force a sort-based aggregate).  Attributes that
+    are constant per key (a symbol's type, currency) belong in ``keys``.
     """
-    return _pick(df, keys, order, F.max_by)
+    return _pick(df, keys, order, F.max_by, F.max)
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str] = KEY, order: str = "ord") -> DataFrame:
     """One row per key: the one that arrived first (least ``order``)."""
-    return _pick(df, keys, order, F.min_by)
+    return _pick(df, keys, order, F.min_by, F.min)

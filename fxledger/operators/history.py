@@ -90,18 +90,28 @@ def scan_ranges(bars: DataFrame, ranges: DataFrame, start: str = "fetch_start",
 def upsert(stored: DataFrame, fresh: DataFrame, order: str = "ord") -> DataFrame:
     """Stored bars merged with fresh ones; per (ticker, date) the fresh bar wins,
     and within one side the later arrival wins.  Incomplete rows are dropped
-    first.  One aggregation, partial on the map side."""
+    first.
+
+    One aggregation, partial on the map side: the last fresh and the last
+    stored price are kept side by side (numeric buffers, so a hash
+    aggregate) and the fresh one is preferred.
+    """
     ord_type = next((d.schema[order].dataType for d in (fresh, stored) if order in d.columns),
                     T.LongType())
 
     def side(df: DataFrame, src: int) -> DataFrame:
-        ord_col = F.col(order) if order in df.columns else F.lit(None).cast(ord_type)
+        ord_col = F.col(order) if order in df.columns else F.lit(0).cast(ord_type)
         bars = df.select("ticker", "old_price", "date", ord_col.alias("_ord"))
         return drop_incomplete(coerce_prices(bars)).withColumn("_src", F.lit(src))
 
     both = side(stored, 0).unionByName(side(fresh, 1))
+    is_fresh = F.col("_src") == 1
+
+    def last_of(cond):
+        return F.max_by(F.when(cond, F.col("old_price")), F.when(cond, F.col("_ord")))
+
     return (both.groupBy("ticker", "date")
-            .agg(F.max_by("old_price", F.struct("_src", "_ord")).alias("old_price"))
+            .agg(F.coalesce(last_of(is_fresh), last_of(~is_fresh)).alias("old_price"))
             .select("ticker", "old_price", "date"))
 
 

@@ -11,15 +11,26 @@ from fxledger.session import materialise
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Materialise ``small`` in the shared checkpoint folder, count it, and mark
-    it for broadcast only when it has at most ``max_rows`` rows.
+def sized(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Materialise ``small`` in the shared checkpoint folder and count it.
 
-    Beyond the bound the caller's join stays a shuffle join (AQE splits
-    skewed partitions).  The checkpoint also cuts the lineage, so a lost
-    executor never recomputes the derivation.
+    Returns the materialised table and whether it has at most ``max_rows``
+    rows.  The checkpoint also cuts the lineage, so a lost executor never
+    recomputes the derivation.  (A checkpoint carries no size statistics,
+    which is why the caller decides on broadcasting from this count.)
     """
     small = materialise(small)
-    if max_rows > 0 and small.count() <= max_rows:
-        return F.broadcast(small)
-    return small
+    return small, (max_rows > 0 and small.count() <= max_rows)
+
+
+def broadcast_if(df: DataFrame, within_bound: bool) -> DataFrame:
+    """Mark ``df`` for broadcast when its size bound has been proven."""
+    return F.broadcast(df) if within_bound else df
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Materialise and count ``small``; mark it for broadcast only when it has
+    at most ``max_rows`` rows.  Beyond the bound the caller's join stays a
+    shuffle join (AQE splits skewed partitions)."""
+    df, ok = sized(small, max_rows)
+    return broadcast_if(df, ok)

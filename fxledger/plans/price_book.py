@@ -19,7 +19,8 @@ from fxledger.functions.dates import collection_window
 from fxledger.operators import clean, convert, fill
 from fxledger.operators import history as hist
 from fxledger.operators import instruments as instr
-from fxledger.session import materialise, write_scratch
+from fxledger.operators.joins import MAX_BROADCAST_ROWS, broadcast_if, sized
+from fxledger.session import write_scratch
 from fxledger.sources.export import export_rows
 
 
@@ -30,17 +31,23 @@ def book_window(as_of: dt.date, years: float):
 
 
 def gather_history(store: DataFrame, landing: DataFrame | None, targets: DataFrame,
-                   as_of: dt.date) -> DataFrame:
+                   as_of: dt.date, small_targets: bool = False) -> DataFrame:
     """Stored bars of the target symbols (one per symbol-day), plus landing
     bars for the day ranges the store lacks inside each symbol's fetch range;
-    a fetched bar wins over a stored one."""
-    stored = store.join(targets.select("ticker"), "ticker", "left_semi")
+    a fetched bar wins over a stored one.
+
+    ``small_targets`` says the target list is within a proven size bound:
+    then the targets and the gaps (at most two per target) are broadcast, so
+    neither the store nor the landing table is shuffled to meet them.
+    """
+    names = broadcast_if(targets.select("ticker"), small_targets)
+    stored = store.join(names, "ticker", "left_semi")
     if landing is None:
         return clean.dedupe_last(stored) if "ord" in stored.columns else stored
     ranges = targets.select("ticker", F.col("fetch_start").alias("start"),
                             F.col("fetch_end").alias("end"))
     cover = hist.coverage(clean.drop_incomplete(stored))
-    gaps = hist.missing_ranges_table(ranges, cover, as_of)
+    gaps = broadcast_if(hist.missing_ranges_table(ranges, cover, as_of), small_targets)
     fetched = hist.scan_ranges(landing, gaps, "gap_start", "gap_end")
     return hist.upsert(stored, fetched)
 
@@ -48,19 +55,23 @@ def gather_history(store: DataFrame, landing: DataFrame | None, targets: DataFra
 def price_book(requests: DataFrame, instruments: DataFrame, store: DataFrame,
                as_of: dt.date, years: float = 0.08, landing: DataFrame | None = None,
                home: str = HOME_CURRENCY, minor_units: Mapping[str, float] | None = None,
-               sort: bool = False) -> DataFrame:
+               sort: bool = False, max_instruments: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Export rows ``(ticker, price, date text)`` of the requested symbols.
 
     ``as_of`` is "today"; it is always given explicitly.  Two cuts keep the
-    plan linear: the instrument set (small) is checkpointed, and the enriched
-    history is written once to the shared folder, so the fill, the quotes and
-    both sides of the conversion read it instead of recomputing the upsert.
+    plan linear: the instrument set is materialised and counted (and
+    broadcast when within ``max_instruments``), and the enriched history is
+    written once to the shared folder, so the fill, the quotes and both
+    sides of the conversion read it instead of recomputing the upsert.
     """
     start, end = book_window(as_of, years)
     validated = instr.validate(requests, instruments)
-    full = materialise(instr.full_instrument_set(validated, instruments, home, minor_units))
+    full, small = sized(instr.full_instrument_set(validated, instruments, home, minor_units),
+                        max_instruments)
+    full = broadcast_if(full, small)
     targets = hist.clip_to_listing(full, start, end)
-    bars = gather_history(store, landing, targets, as_of).select("ticker", "old_price", "date")
+    bars = gather_history(store, landing, targets, as_of, small).select(
+        "ticker", "old_price", "date")
     filled = fill.calendar_fill(bars).drop("filled")
     rows = filled.unionByName(fill.provisional_quotes(bars, full, as_of))
     # One row per symbol-day from here on, so the arrival order is immaterial.

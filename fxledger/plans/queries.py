@@ -20,12 +20,14 @@ from fxledger.operators import clean, convert, fill, history, instruments
 from fxledger.operators.joins import bounded_broadcast
 from fxledger.plans import params as P
 from fxledger.plans.price_book import price_book
-from fxledger.session import ensure_checkpoint_dir, ensure_utc, scratch_path
+from fxledger.session import ensure_checkpoint_dir, ensure_utc, scratch_path, write_scratch
 from fxledger.sources import fixtures as fx
 from fxledger.sources.export import export_rows
 from fxledger.sources.store import PriceStore, expire
 
 Query = Callable[[SparkSession, str], DataFrame]
+# Type and currency are attributes of the symbol, so they ride in the key.
+SYMBOL_DAY = ("ticker", "date", "type", "currency")
 QUERIES: dict[str, Query] = {}
 
 
@@ -46,11 +48,14 @@ def query(fn: Query) -> Query:
 # -- shared inputs --------------------------------------------------------------
 
 def deduped_raw(spark: SparkSession, sf_dir: str, with_eur: bool = True) -> DataFrame:
-    """Conversion input after keep-last per symbol-day."""
+    """Conversion input: keep-last per symbol-day, written once to the shared
+    folder as the store the conversion reads (its size check and its final
+    join both read the table instead of recomputing the dedupe)."""
     quotes = fx.fx_bars(spark, sf_dir)
     if not with_eur:
         quotes = quotes.where(F.col("ticker") != P.EUR_PAIR)
-    return clean.dedupe_last(fx.security_bars(spark, sf_dir).unionByName(quotes))
+    deduped = clean.dedupe_last(fx.security_bars(spark, sf_dir).unionByName(quotes), SYMBOL_DAY)
+    return write_scratch(deduped, "deduped-bars")
 
 
 def store_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +136,7 @@ def q_drop_incomplete(spark, sf_dir):
 @query
 def q_dedupe_last(spark, sf_dir):
     """Keep the last arrival per symbol-day."""
-    return clean.dedupe_last(fx.security_bars(spark, sf_dir)).drop("ord")
+    return clean.dedupe_last(fx.security_bars(spark, sf_dir), SYMBOL_DAY).drop("ord")
 
 
 @query

@@ -26,7 +26,20 @@ FIRST_EPOCH = 788918400  # 1995-01-01
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read a driver table.  A file that arrives in fewer splits than the
+    cluster has cores (here: one row group per file) is spread round-robin so
+    the joins and partial aggregations after it use every core; a large
+    table already has more splits than cores and is left alone (the check is
+    planning only, it runs no job)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD_TABLES and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
+
+
+# The fact tables (dimensions are small and broadcast).
+SPREAD_TABLES = ("lineitem", "orders", "events")
 
 
 def region_currency(regionkey: Column) -> Column:
@@ -45,27 +58,41 @@ def _supplier_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
                     region_currency(F.col("n_regionkey")).alias("currency")))
 
 
-def arrival(*cols: Column) -> Column:
-    """Arrival order as an orderable struct of source keys (no window needed)."""
-    names = ["k1", "k2", "k3", "k4"]
-    return F.struct(*[c.alias(n) for c, n in zip(cols, names)])
+# Arrival order of a lineitem bar: (order key, line number, part key), which
+# is unique within a supplier-day, packed into one BIGINT so that "keep
+# last" aggregates over fixed-width buffers (hash aggregation).  The part key
+# takes the low 9 digits; the packing is exact while part keys stay below
+# 1e9 and order keys below 1.1e9 (scale factors up to ~760).  Beyond that the
+# ANSI overflow check fails the query instead of reordering silently.
+PART_SLOT = 1_000_000_000
+
+
+def arrival(orderkey: Column, linenumber: Column, partkey: Column) -> Column:
+    return ((orderkey.cast("long") * 8 + linenumber.cast("long")) * F.lit(PART_SLOT)
+            + partkey.cast("long"))
 
 
 def security_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v_px: ENRICHED security bars (ticker, old_price, date, type, currency, ord)."""
+    """v_px: ENRICHED security bars (ticker, old_price, date, type, currency, ord).
+
+    The fact table joins each dimension directly (lineitem-supplier, then
+    nation) so the planner sees the small side of every join; joining the
+    dimensions first would make their product look larger than lineitem.
+    """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_shipdate")
-    sup = _supplier_currency(spark, sf_dir)
-    j = li.join(sup, li["l_suppkey"] == sup["s_suppkey"])
+    sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    j = (li.join(sup, li["l_suppkey"] == sup["s_suppkey"])
+         .join(nat, F.col("s_nationkey") == nat["n_nationkey"]))
     return j.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("old_price"),
         F.col("l_shipdate").cast("date").alias("date"),
         F.lit("EQUITY").alias("type"),
-        F.col("currency"),
-        arrival(F.col("l_orderkey"), F.col("l_linenumber").cast("long"),
-                F.col("l_partkey"), F.col("l_extendedprice")).alias("ord"))
+        region_currency(F.col("n_regionkey")).alias("currency"),
+        arrival(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")).alias("ord"))
 
 
 def fx_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +113,7 @@ def fx_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("date"),
         F.lit("CURRENCY").alias("type"),
         F.lit("GBP").alias("currency"),
-        arrival(F.col("o_orderkey"), F.lit(0).cast("long"), F.lit(0).cast("long"),
-                F.lit(0.0)).alias("ord"))
+        F.col("o_orderkey").alias("ord"))
 
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
