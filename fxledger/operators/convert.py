@@ -179,6 +179,12 @@ def convert_prices(df: DataFrame, home: str = HOME_CURRENCY,
     return conv.converted
 
 
+def ordered(converted: DataFrame) -> DataFrame:
+    """Converted rows by day, then symbol (a range-partitioned sort; apply it
+    at the sink only)."""
+    return converted.orderBy("date", "ticker")
+
+
 def conversion_check(converted_securities: DataFrame, rated: DataFrame,
                      tolerance: float = 1e-6) -> DataFrame:
     """Rows of a stored conversion whose price differs from old price x rate."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from fxledger.session import materialise
 
@@ -15,12 +15,14 @@ def sized(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFra
     """Materialise ``small`` in the shared checkpoint folder and count it.
 
     Returns the materialised table and whether it has at most ``max_rows``
-    rows.  The checkpoint also cuts the lineage, so a lost executor never
+    rows.  The count is observed while the checkpoint is written (one job).
+    The checkpoint also cuts the lineage, so a lost executor never
     recomputes the derivation.  (A checkpoint carries no size statistics,
     which is why the caller decides on broadcasting from this count.)
     """
-    small = materialise(small)
-    return small, (max_rows > 0 and small.count() <= max_rows)
+    rows = Observation()
+    small = materialise(small.observe(rows, F.count(F.lit(1)).alias("n")))
+    return small, (max_rows > 0 and rows.get["n"] <= max_rows)
 
 
 def broadcast_if(df: DataFrame, within_bound: bool) -> DataFrame:
