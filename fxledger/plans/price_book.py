@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fxledger.functions.currency import HOME_CURRENCY
 from fxledger.functions.dates import collection_window
@@ -20,8 +20,26 @@ from fxledger.operators import clean, convert, fill
 from fxledger.operators import history as hist
 from fxledger.operators import instruments as instr
 from fxledger.operators.joins import MAX_BROADCAST_ROWS, broadcast_if, sized
-from fxledger.session import write_scratch
+from fxledger.session import scratch_path, write_scratch
 from fxledger.sources.export import export_rows
+from fxledger.sources.store import PriceStore
+
+
+def self_check(spark: SparkSession, requests: DataFrame, as_of: dt.date, years: float) -> None:
+    """Startup sanity: symbols requested, a window that starts before it ends,
+    and a store round trip in the shared folder that keeps its rows."""
+    if requests.limit(1).count() == 0:
+        raise ValueError("no symbols requested")
+    start, end = spark.range(1).select(*book_window(as_of, years)).first()
+    if not start < end:
+        raise ValueError(f"empty collection window {start}..{end}")
+    store = PriceStore(spark, scratch_path(spark, "self-check"), buckets=1)
+    sample = spark.createDataFrame([("TEST", 1.23, dt.date(2026, 1, 1)),
+                                    ("TEST", 1.24, dt.date(2026, 1, 2))],
+                                   "ticker string, old_price double, date date")
+    store.save(sample)
+    if store.bars().count() != 2:
+        raise RuntimeError("price store round trip lost rows")
 
 
 def book_window(as_of: dt.date, years: float):

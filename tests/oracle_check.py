@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 
 import duckdb
 
+EXACT = os.environ.get("FXLEDGER_EXACT") == "1"
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -22,7 +25,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v if EXACT else round(v, 9)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None)
     return v

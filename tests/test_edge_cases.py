@@ -165,10 +165,10 @@ def test_epochs(spark):
 
 
 def test_business_day_count_matches_brute_force(spark):
-    df = spark.range(0, 40).select(F.date_add(F.lit(D(2026, 1, 1)), F.col("id").cast("int"))
-                                   .alias("s")).crossJoin(spark.range(-2, 16).withColumnRenamed(
-                                       "id", "n"))
-    df = df.select("s", F.date_add("s", F.col("n").cast("int")).alias("e"))
+    grid = spark.range(0, 40 * 18).select(
+        F.date_add(F.lit(D(2026, 1, 1)), (F.col("id") / 18).cast("int")).alias("s"),
+        (F.col("id") % 18 - 2).cast("int").alias("n"))
+    df = grid.select("s", F.date_add("s", F.col("n")).alias("e"))
     brute = F.size(F.filter(F.sequence("s", "e"), lambda x: F.weekday(x) < 5))
     got = df.select(business_day_count("s", "e").alias("a"),
                     F.when(F.col("e") >= F.col("s"), brute).otherwise(0).alias("b"))
@@ -259,3 +259,13 @@ def test_csv_export(spark):
     back = spark.read.csv(path, schema="ticker string, price double, date string").collect()
     assert [tuple(r) for r in back] == [("B", 2.5, "03/01/2026"), ("A", 1.5, "02/01/2026")]
     assert not write_csv(export_rows(conv, d(9)), scratch_path(spark, "test-csv"))
+
+
+def test_self_check(spark):
+    from fxledger.plans.price_book import self_check
+    req = spark.createDataFrame([(1, "A")], "pos long, symbol string")
+    self_check(spark, req, D(2026, 1, 4), 0.1)
+    with pytest.raises(ValueError):
+        self_check(spark, req.limit(0), D(2026, 1, 4), 0.1)
+    with pytest.raises(ValueError):
+        self_check(spark, req, D(2026, 1, 4), 0.001)
