@@ -73,19 +73,23 @@ def main() -> None:
         return time.perf_counter() - t
 
     run("convert_prices")  # warm-up: JIT, file listing caches
-    times = {}
+    times, failed = {}, {}
     for name in names:
-        times[name] = round(run(name), 3)
+        try:
+            times[name] = round(run(name), 3)
+        except Exception as exc:  # record and go on: one failure must not hide the rest
+            failed[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     asof_runs = asof_cached(spark) if not ONLY else []
     headline = [n for n in HEADLINE if n in times]
     result = {
         "metric": "sum of headline query seconds",
-        "value": round(sum(times[n] for n in headline), 3),
+        "value": round(sum(times[n] for n in headline), 3) if headline else None,
         "unit": "sec",
         "queries": times,
         "headline": headline,
         "all_queries_sec": round(sum(times.values()), 3),
         "asof_cached_aggregate_runs": asof_runs,
+        "failed": failed,
         "sf": sf_of(SF_DIR),
         "cpus": CPUS,
     }
