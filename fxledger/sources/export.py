@@ -24,18 +24,16 @@ def export_rows(converted: DataFrame, start: dt.date | str, sort: bool = False)
     return rows.select("ticker", "price", F.date_format("date", DAY_FORMAT).alias("date"))
 
 
-def write_csv(rows: DataFrame, path: str, single_file: bool = False) -> bool:
+def write_csv(rows: DataFrame, path: str) -> bool:
     """Write headerless CSV ``ticker,price,date`` in the order of ``rows``.
 
     Refuses input without the three columns (raises) and empty input (returns
-    False after one ``limit(1)`` probe).  ``single_file`` coalesces to one
-    file and is meant for small outputs only.
+    False after one ``limit(1)`` probe).  Sorted rows (``export_rows(...,
+    sort=True)``) are range partitioned, so the part files in name order are
+    the export in order; nothing is funnelled through a single task.
     """
     require_columns(rows, EXPORT_COLUMNS, "CSV export")
     if rows.limit(1).count() == 0:
         return False
-    out = rows.select(*EXPORT_COLUMNS)
-    if single_file:
-        out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", "false").csv(path)
+    rows.select(*EXPORT_COLUMNS).write.mode("overwrite").option("header", "false").csv(path)
     return True
