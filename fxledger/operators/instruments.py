@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from fxledger.functions.currency import HOME_CURRENCY, NO_PAIR, fx_symbol
 from fxledger.functions.dates import epoch_seconds_to_ts
@@ -23,12 +23,13 @@ def normalise_instruments(meta: DataFrame, symbol: str = "ticker",
     seconds -> timestamp, missing type/currency -> "Unknown", a bid that is
     not a number -> NULL.
     """
+    bid_is_text = not isinstance(meta.schema[bid].dataType, T.NumericType)
     return (meta.where(F.col(symbol).isNotNull())
             .select(F.upper(F.col(symbol)).alias("ticker"),
                     epoch_seconds_to_ts(epoch).alias("earliest_ts"),
                     F.coalesce(F.col(type_).cast("string"), F.lit(UNKNOWN)).alias("type"),
                     F.coalesce(F.col(currency).cast("string"), F.lit(UNKNOWN)).alias("currency"),
-                    coerce_numeric(F.col(bid), text=True).alias("bid")))
+                    coerce_numeric(F.col(bid), text=bid_is_text).alias("bid")))
 
 
 def is_valid(instruments: DataFrame):
