@@ -414,7 +414,10 @@ def q_export_rows(spark, sf_dir):
 def q_price_book(spark, sf_dir):
     """3.1: requests -> validated instruments -> stored history + fetched gaps
     -> FX fill -> provisional quotes -> conversion -> export rows."""
-    raw = fx.raw_bars(spark, sf_dir).select("ticker", "old_price", "date", "ord")
+    # The landing area: raw bars as files (written once); the store holds
+    # the deduplicated bars up to BOOK_STORED_TO.
+    raw = write_scratch(fx.raw_bars(spark, sf_dir).select("ticker", "old_price", "date", "ord"),
+                        "landing-bars")
     store = clean.dedupe_last(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO)))
     return price_book(fx.requests(spark, sf_dir), instrument_table(spark, sf_dir, with_fx=True),
                       store, P.BOOK_AS_OF, P.BOOK_YEARS, landing=raw)
