@@ -6,14 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
-# The home currency, its minor unit and the rate of that unit,
-# the symbol of a row that needs no pair, and the pair suffix.
-HOME_CURRENCY = "GBP"
-MINOR_UNITS = {"GBp": 0.01}
-NO_PAIR = "-"
-PAIR_SUFFIX = "=X"
-# The dollar pair is quoted without the base currency: "<HOME>=X".
-DOLLAR = "USD"
+from fxledger.constants import DOLLAR, HOME_CURRENCY, MINOR_UNITS, NO_PAIR, PAIR_SUFFIX
 
 
 def _c(c: Column | str) -> Column:

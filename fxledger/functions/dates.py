@@ -10,10 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-# Month-days that are never business days (besides Saturday and Sunday).
-PUBLIC_HOLIDAYS = ("01-01", "12-25", "12-26")
+from fxledger.constants import DAYS_PER_YEAR, EPOCH_MILLIS_FROM, PUBLIC_HOLIDAYS
 
-DAYS_PER_YEAR = 365.25
 # The longest run of closed days is Friday holiday + weekend (or weekend + two
 # holidays), so a business day is always found within 7 days.
 _ROLL_SPAN = 7
@@ -51,7 +49,7 @@ def epoch_to_day(c: Column | str) -> Column:
     """
     x = F.abs(_c(c).try_cast("double"))
     x = F.when(~F.isnan(x), x)
-    secs = F.when(x < F.lit(1e10), F.floor(x)).otherwise(F.floor(x / F.lit(1000.0)))
+    secs = F.when(x < F.lit(EPOCH_MILLIS_FROM), F.floor(x)).otherwise(F.floor(x / F.lit(1000.0)))
     return F.date_from_unix_date(_floor_div(secs, 86400))
 
 

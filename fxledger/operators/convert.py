@@ -22,13 +22,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fxledger.functions.currency import HOME_CURRENCY, NO_PAIR, fixed_rate, fx_symbol
+from fxledger.constants import CHECK_TOLERANCE, CURRENCY_TYPE, HOME_CURRENCY, NO_PAIR
+from fxledger.functions.currency import fixed_rate, fx_symbol
 from fxledger.operators.clean import coerce_prices, drop_incomplete
 from fxledger.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
 from fxledger.schema import CONVERT_COLUMNS, require_columns
 
-CURRENCY_TYPE = "CURRENCY"
-
 
 def enrich(prices: DataFrame, instruments: DataFrame) -> DataFrame:
     """Attach ``type`` and ``currency`` from the instruments when the bars lack
@@ -186,7 +185,7 @@ def ordered(converted: DataFrame) -> DataFrame:
 
 
 def conversion_check(converted_securities: DataFrame, rated: DataFrame,
-                     tolerance: float = 1e-6) -> DataFrame:
+                     tolerance: float = CHECK_TOLERANCE) -> DataFrame:
     """Rows of a stored conversion whose price differs from old price x rate."""
     expected = rated.select("ticker", "date", "old_price", "rate")
     return (converted_securities.join(expected, ["ticker", "date"])

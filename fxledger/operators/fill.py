@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fxledger.functions.currency import PAIR_SUFFIX, is_fx_symbol
+from fxledger.constants import PAIR_SUFFIX
+from fxledger.functions.currency import is_fx_symbol
 from fxledger.functions.numeric import is_number
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from fxledger.constants import STATUS_EMPTY, STATUS_LOADED, STATUS_NOT_FOUND
 from fxledger.functions.numeric import is_number
 from fxledger.functions.ranges import missing_ranges
 from fxledger.operators.clean import coerce_prices, drop_incomplete
@@ -36,9 +37,9 @@ def store_status(tickers: DataFrame, raw_store: DataFrame) -> DataFrame:
                   F.count_if(usable).alias("_usable"),
                   F.min(F.when(usable, F.col("date"))).alias("first_date"),
                   F.max(F.when(usable, F.col("date"))).alias("last_date")))
-    status = (F.when(F.col("_rows").isNull(), F.lit("not_found"))
-               .when(F.col("_usable") == 0, F.lit("empty"))
-               .otherwise(F.lit("loaded")))
+    status = (F.when(F.col("_rows").isNull(), F.lit(STATUS_NOT_FOUND))
+               .when(F.col("_usable") == 0, F.lit(STATUS_EMPTY))
+               .otherwise(F.lit(STATUS_LOADED)))
     return (tickers.join(stats, "ticker", "left")
             .select("ticker", status.alias("status"), "first_date", "last_date",
                     F.coalesce(F.col("_usable"), F.lit(0)).cast("long").alias("n_days")))

@@ -6,13 +6,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fxledger.functions.currency import HOME_CURRENCY, NO_PAIR, fx_symbol
+from fxledger.constants import HOME_CURRENCY, NO_PAIR, UNKNOWN
+from fxledger.functions.currency import fx_symbol
 from fxledger.functions.dates import epoch_seconds_to_ts
 from fxledger.functions.numeric import coerce_numeric
 
-# Fixed value: what a missing type or currency becomes.
-UNKNOWN = "Unknown"
-
 
 def normalise_instruments(meta: DataFrame, symbol: str = "ticker",
                           epoch: str = "first_trade_epoch", type_: str = "quote_type",

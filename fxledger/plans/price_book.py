@@ -14,7 +14,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.functions.currency import HOME_CURRENCY
+from fxledger.constants import DEFAULT_COLLECTION_YEARS, HOME_CURRENCY
 from fxledger.functions.dates import collection_window
 from fxledger.operators import clean, convert, fill
 from fxledger.operators import history as hist
@@ -71,7 +71,7 @@ def gather_history(store: DataFrame, landing: DataFrame | None, targets: DataFra
 
 
 def price_book(requests: DataFrame, instruments: DataFrame, store: DataFrame,
-               as_of: dt.date, years: float = 0.08, landing: DataFrame | None = None,
+               as_of: dt.date, years: float = DEFAULT_COLLECTION_YEARS, landing: DataFrame | None = None,
                home: str = HOME_CURRENCY, minor_units: Mapping[str, float] | None = None,
                sort: bool = False, max_instruments: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Export rows ``(ticker, price, date text)`` of the requested symbols.

@@ -6,9 +6,10 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from fxledger.constants import EXPORT_DAY_FORMAT
 from fxledger.schema import EXPORT_COLUMNS, require_columns
 
-DAY_FORMAT = "dd/MM/yyyy"
+DAY_FORMAT = EXPORT_DAY_FORMAT
 
 
 def export_rows(converted: DataFrame, start: dt.date | str, sort: bool = False) -> DataFrame:
