@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fxledger.constants import CHECK_TOLERANCE, CURRENCY_TYPE, HOME_CURRENCY, NO_PAIR
 from fxledger.functions.currency import fixed_rate, fx_symbol
 from fxledger.operators.clean import coerce_prices, drop_incomplete
-from fxledger.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
+from fxledger.operators.joins import MAX_BROADCAST_ROWS, broadcast_if, sized
 from fxledger.schema import CONVERT_COLUMNS, require_columns
 
 
@@ -121,17 +121,35 @@ class Conversion:
     max_broadcast_rows: int = MAX_BROADCAST_ROWS
 
     @cached_property
+    def _pair_rates_sized(self) -> tuple[DataFrame, bool]:
+        return sized(domain_rates(self.securities, self.rates), self.max_broadcast_rows)
+
+    @property
     def pair_rates(self) -> DataFrame:
-        """Rate domain with resolved rates, size-checked for broadcast."""
-        return bounded_broadcast(domain_rates(self.securities, self.rates),
-                                 self.max_broadcast_rows)
+        """Rate domain with resolved rates, marked for broadcast when its size
+        is within the bound."""
+        df, small = self._pair_rates_sized
+        return broadcast_if(df, small)
 
     @cached_property
     def rated(self) -> DataFrame:
-        """Securities with their final ``rate`` (NULL = unresolved)."""
-        joined = self.securities.join(self.pair_rates.drop("backfilled"),
-                                      ["fx_ticker", "date"], "left")
-        return joined.withColumn("rate", F.coalesce("fixed_rate", "rate"))
+        """Securities with their final ``rate`` (NULL = unresolved).
+
+        Broadcast path: one pass, every row probes the small rate table.
+        Shuffle path (domain beyond the bound): only rows that need a market
+        rate are shuffled into the join; home-currency rows and rows without
+        a currency (a NULL key would pile into one partition) skip it.
+        """
+        rates, small = self._pair_rates_sized
+        rates = rates.drop("backfilled")
+        if small:
+            joined = self.securities.join(F.broadcast(rates), ["fx_ticker", "date"], "left")
+            return joined.withColumn("rate", F.coalesce("fixed_rate", "rate"))
+        needs = F.col("fixed_rate").isNull() & F.col("fx_ticker").isNotNull()
+        market = self.securities.where(needs).join(rates, ["fx_ticker", "date"], "left")
+        rest = (self.securities.where(~needs)
+                .withColumn("rate", F.col("fixed_rate").cast("double")))
+        return market.unionByName(rest)
 
     @property
     def unresolved(self) -> DataFrame:

@@ -64,13 +64,12 @@ def rejects(requests: DataFrame, instruments: DataFrame) -> DataFrame:
 def required_fx(validated: DataFrame, home: str = HOME_CURRENCY,
                 minor_units: Mapping[str, float] | None = None) -> DataFrame:
     """FX pairs the validated instruments need and that are not requested
-    already, in symbol order (at most one row per currency)."""
+    already (at most one row per currency; sort by ``fx_ticker`` at the sink)."""
     pairs = (validated.select(fx_symbol("currency", home, minor_units).alias("fx_ticker"))
              .where(F.col("fx_ticker").isNotNull() & (F.col("fx_ticker") != NO_PAIR))
              .distinct())
-    return (pairs.join(validated.select(F.col("ticker").alias("fx_ticker")), "fx_ticker",
-                       "left_anti")
-            .orderBy("fx_ticker"))
+    return pairs.join(validated.select(F.col("ticker").alias("fx_ticker")), "fx_ticker",
+                      "left_anti")
 
 
 def full_instrument_set(validated: DataFrame, instruments: DataFrame,

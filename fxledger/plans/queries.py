@@ -312,7 +312,7 @@ def q_request_rejects(spark, sf_dir):
 def q_required_fx(spark, sf_dir):
     """FX pairs needed by the validated instruments."""
     validated = instruments.validate(fx.requests(spark, sf_dir), instrument_table(spark, sf_dir))
-    return instruments.required_fx(validated)
+    return instruments.required_fx(validated).orderBy("fx_ticker")
 
 
 @query
