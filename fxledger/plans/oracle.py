@@ -212,11 +212,12 @@ PRICE_BOOK = with_views(
     BOOK_WINDOW,
     """targets as (
   select f.ticker,
-         cast(greatest(cast(w.wstart as timestamp), coalesce(f.earliest_ts, cast(w.wstart as timestamp)))
+         cast(greatest(cast((select wstart from win) as timestamp),
+                       coalesce(f.earliest_ts, cast((select wstart from win) as timestamp)))
               as date) as fetch_start,
-         w.wend as fetch_end
-  from full_set f cross join win w
-  where f.earliest_ts is null or f.earliest_ts <= cast(w.wend as timestamp))""",
+         (select wend from win) as fetch_end
+  from full_set f
+  where f.earliest_ts is null or f.earliest_ts <= cast((select wend from win) as timestamp))""",
     """store as (select ticker, date, max_by(old_price, ord) as old_price, max(ord) as ord
           from v_raw where date <= date '2001-06-30' group by ticker, date)""",
     "stored as (select * from store where ticker in (select ticker from targets))",
@@ -244,7 +245,7 @@ PRICE_BOOK = with_views(
     *conversion_ctes(src="enriched"),
     CONV,
 ) + """select c.ticker, c.price, strftime(c.date, '%d/%m/%Y') as date
-from conv c cross join win w where c.date >= w.wstart"""
+from conv c where c.date >= (select wstart from win)"""
 
 
 def oracle_sql() -> dict[str, str]:
