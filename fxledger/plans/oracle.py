@@ -434,4 +434,5 @@ where w.last_write >= timestamp '2024-02-09 18:00:00' - interval 20 day""",
 select ticker, price, strftime(date, '%d/%m/%Y') as date from conv
 where date >= date '2001-06-01'""", extra=(CONV,)),
         "price_book": PRICE_BOOK,
+        "price_book_stored": PRICE_BOOK,
     }

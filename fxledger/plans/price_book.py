@@ -14,14 +14,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.constants import DEFAULT_COLLECTION_YEARS, HOME_CURRENCY
+from fxledger.constants import DEFAULT_COLLECTION_YEARS, DEFAULT_MAX_AGE_DAYS, HOME_CURRENCY
 from fxledger.functions.dates import collection_window
 from fxledger.operators import clean, convert, fill
 from fxledger.operators import history as hist
 from fxledger.operators import instruments as instr
 from fxledger.operators.joins import MAX_BROADCAST_ROWS, broadcast_if, sized
 from fxledger.session import scratch_path, write_scratch
-from fxledger.sources.export import export_rows
+from fxledger.sources.export import export_rows, write_csv
 from fxledger.sources.store import PriceStore
 
 
@@ -97,3 +97,44 @@ def price_book(requests: DataFrame, instruments: DataFrame, store: DataFrame,
     converted = convert.convert_prices(enriched.withColumn("ord", F.lit(0).cast("long")),
                                        home, minor_units)
     return export_rows(converted, start, sort=sort)
+
+
+def run_book(requests: DataFrame, instruments: DataFrame, store: PriceStore,
+             landing: DataFrame, as_of: dt.date, out_path: str,
+             years: float = DEFAULT_COLLECTION_YEARS,
+             max_age_days: int = DEFAULT_MAX_AGE_DAYS, now: dt.datetime | None = None,
+             home: str = HOME_CURRENCY, minor_units: Mapping[str, float] | None = None,
+             max_instruments: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The whole run with the store kept on disk.
+
+    Validate the requests, find the day ranges the store lacks, fetch them
+    from ``landing`` and upsert them into ``store`` (only touched buckets are
+    rewritten; nothing is written when nothing was fetched), then fill, quote,
+    convert, write the sorted headerless CSV to ``out_path`` and apply the
+    store retention.  Returns the export rows (over the converted table,
+    which is written once to the shared folder and feeds the CSV too).
+    """
+    start, end = book_window(as_of, years)
+    validated = instr.validate(requests, instruments)
+    full, small = sized(instr.full_instrument_set(validated, instruments, home, minor_units),
+                        max_instruments)
+    full = broadcast_if(full, small)
+    targets = hist.clip_to_listing(full, start, end)
+    names = broadcast_if(targets.select("ticker"), small)
+    stored = store.bars().join(names, "ticker", "left_semi")
+    ranges = targets.select("ticker", F.col("fetch_start").alias("start"),
+                            F.col("fetch_end").alias("end"))
+    gaps = broadcast_if(hist.missing_ranges_table(ranges, hist.coverage(stored), as_of), small)
+    fetched = write_scratch(hist.scan_ranges(landing, gaps, "gap_start", "gap_end"), "fetched")
+    if fetched.limit(1).count() > 0:
+        store.upsert(fetched)
+    bars = store.bars().join(names, "ticker", "left_semi")
+    filled = fill.calendar_fill(bars).drop("filled")
+    rows = filled.unionByName(fill.provisional_quotes(bars, full, as_of))
+    enriched = write_scratch(convert.enrich(rows, full), "run-book-history")
+    converted = write_scratch(
+        convert.convert_prices(enriched.withColumn("ord", F.lit(0).cast("long")),
+                               home, minor_units), "run-book-converted")
+    write_csv(export_rows(converted, start, sort=True), out_path)
+    store.expire(now, max_age_days)
+    return export_rows(converted, start)

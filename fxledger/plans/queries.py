@@ -19,7 +19,7 @@ from fxledger.functions.numeric import coerce_numeric
 from fxledger.operators import clean, convert, fill, history, instruments
 from fxledger.operators.joins import bounded_broadcast
 from fxledger.plans import params as P
-from fxledger.plans.price_book import price_book
+from fxledger.plans.price_book import price_book, run_book
 from fxledger.session import ensure_checkpoint_dir, ensure_utc, scratch_path, write_scratch
 from fxledger.sources import fixtures as fx
 from fxledger.sources.export import export_rows
@@ -423,5 +423,18 @@ def q_price_book(spark, sf_dir):
                       store, P.BOOK_AS_OF, P.BOOK_YEARS, landing=raw)
 
 
+@query
+def q_price_book_stored(spark, sf_dir):
+    """3.1 with the store on disk: gaps fetched from the landing bars are
+    upserted into a bucketed Parquet store, the CSV is written, retention runs."""
+    raw = write_scratch(fx.raw_bars(spark, sf_dir).select("ticker", "old_price", "date", "ord"),
+                        "landing-bars")
+    store = PriceStore(spark, scratch_path(spark, "book-store"), buckets=P.STORE_BUCKETS)
+    store.save(clean.dedupe_last(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO))).drop("ord"))
+    return run_book(fx.requests(spark, sf_dir), instrument_table(spark, sf_dir, with_fx=True),
+                    store, raw, P.BOOK_AS_OF, scratch_path(spark, "book-csv"),
+                    years=P.BOOK_YEARS)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

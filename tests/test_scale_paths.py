@@ -80,3 +80,31 @@ def test_hot_symbol_holding_a_third_of_rows(spark):
     # has one (0.5, 2026-01-05).  (S0, 2026-01-01) holds ids 0, 300, ..., 5700;
     # the last arrival (5700, price 5700 % 97 + 1 = 75) wins.
     assert out[("S0", dt.date(2026, 1, 1))] == 75.0 * 0.5
+
+
+def test_run_book_persists_and_matches_price_book(spark):
+    import glob
+
+    from fxledger.plans.price_book import run_book
+    from fxledger.session import scratch_path
+    from fxledger.sources.store import PriceStore
+
+    raw = fx.raw_bars(spark, SF).select("ticker", "old_price", "date", "ord")
+    seed = clean.dedupe_last(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO)))
+    req, inst = fx.requests(spark, SF), Q.instrument_table(spark, SF, with_fx=True)
+    expected = rows(price_book(req, inst, seed, P.BOOK_AS_OF, P.BOOK_YEARS, landing=raw))
+
+    store = PriceStore(spark, scratch_path(spark, "run-book-store"), buckets=4)
+    store.save(seed.drop("ord"))
+    before = store.bars().count()
+    out = scratch_path(spark, "run-book-csv")
+    got = run_book(req, inst, store, raw, P.BOOK_AS_OF, out, years=P.BOOK_YEARS)
+    assert rows(got) == expected
+    assert store.bars().count() > before          # fetched bars were persisted
+    lines = [ln for f in sorted(glob.glob(out.removeprefix("file:") + "/part-*"))
+             for ln in open(f).read().splitlines()]
+    assert len(lines) == len(expected)
+    # A second run finds nothing new to fetch and gives the same rows.
+    again = run_book(req, inst, store, raw, P.BOOK_AS_OF, scratch_path(spark, "csv2"),
+                     years=P.BOOK_YEARS)
+    assert rows(again) == expected
