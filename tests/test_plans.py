@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from fxledger.operators import clean, convert, history
 from fxledger.plans import queries as Q

@@ -6,7 +6,6 @@ Each Hypothesis example is a whole batch of cases evaluated in one Spark job.
 import datetime as dt
 
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from fxledger.functions.dates import PUBLIC_HOLIDAYS, roll_business_day
 from fxledger.functions.ranges import missing_ranges

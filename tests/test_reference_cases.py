@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from fxledger.functions.dates import collection_days, collection_window
 from fxledger.functions.ranges import missing_ranges
