@@ -47,15 +47,17 @@ def query(fn: Query) -> Query:
 
 # -- shared inputs --------------------------------------------------------------
 
-def deduped_raw(spark: SparkSession, sf_dir: str, with_eur: bool = True) -> DataFrame:
+def deduped_raw(spark: SparkSession, sf_dir: str, with_eur: bool = True,
+                materialise: bool = True) -> DataFrame:
     """Conversion input: keep-last per symbol-day, written once to the shared
     folder as the store the conversion reads (its size check and its final
-    join both read the table instead of recomputing the dedupe)."""
+    join both read the table instead of recomputing the dedupe).  A query
+    that reads it once only keeps it lazy."""
     quotes = fx.fx_bars(spark, sf_dir)
     if not with_eur:
         quotes = quotes.where(F.col("ticker") != P.EUR_PAIR)
     deduped = clean.dedupe_last(fx.security_bars(spark, sf_dir).unionByName(quotes), SYMBOL_DAY)
-    return write_scratch(deduped, "deduped-bars")
+    return write_scratch(deduped, "deduped-bars") if materialise else deduped
 
 
 def store_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +175,8 @@ def q_enrich_prices(spark, sf_dir):
 
 # -- conversion -------------------------------------------------------------------
 
-def _conversion(spark, sf_dir, with_eur=True) -> convert.Conversion:
-    return convert.prepare(deduped_raw(spark, sf_dir, with_eur))
+def _conversion(spark, sf_dir, with_eur=True, materialise=True) -> convert.Conversion:
+    return convert.prepare(deduped_raw(spark, sf_dir, with_eur, materialise))
 
 
 @query
@@ -224,7 +226,7 @@ def q_conversion_summary(spark, sf_dir):
 @query
 def q_date_coverage(spark, sf_dir):
     """U4: security days, FX days, common and one-sided days."""
-    conv = _conversion(spark, sf_dir)
+    conv = _conversion(spark, sf_dir, materialise=False)
     return convert.date_coverage(conv.securities, conv.fx_rows)
 
 
