@@ -104,16 +104,18 @@ def run_book(requests: DataFrame, instruments: DataFrame, store: PriceStore,
              years: float = DEFAULT_COLLECTION_YEARS,
              max_age_days: int = DEFAULT_MAX_AGE_DAYS, now: dt.datetime | None = None,
              home: str = HOME_CURRENCY, minor_units: Mapping[str, float] | None = None,
-             max_instruments: int = MAX_BROADCAST_ROWS) -> DataFrame:
+             max_instruments: int = MAX_BROADCAST_ROWS, check: bool = True) -> DataFrame:
     """The whole run with the store kept on disk.
 
-    Validate the requests, find the day ranges the store lacks, fetch them
+    Run the startup self-check (``check``), validate the requests, find the day ranges the store lacks, fetch them
     from ``landing`` and upsert them into ``store`` (only touched buckets are
     rewritten; nothing is written when nothing was fetched), then fill, quote,
     convert, write the sorted headerless CSV to ``out_path`` and apply the
     store retention.  Returns the export rows (over the converted table,
     which is written once to the shared folder and feeds the CSV too).
     """
+    if check:
+        self_check(requests.sparkSession, requests, as_of, years)
     start, end = book_window(as_of, years)
     validated = instr.validate(requests, instruments)
     full, small = sized(instr.full_instrument_set(validated, instruments, home, minor_units),
