@@ -42,18 +42,19 @@ def asof_cached(spark) -> list[float]:
     from fxledger.sources import fixtures as fx
 
     px = convert.with_fx_symbol(convert.clean_side(fx.security_bars(spark, SF_DIR))).cache()
-    rates = convert.first_rate(convert.clean_side(fx.fx_bars(spark, SF_DIR))).cache()
-    px.count(), rates.count()
+    quotes = convert.clean_side(fx.fx_bars(spark, SF_DIR)).cache()
+    rates = convert.first_rate(quotes).cache()
+    px.count(), quotes.count(), rates.count()
 
     def once() -> float:
         t = time.perf_counter()
-        conv = convert.Conversion(px, rates, rates)
+        conv = convert.Conversion(securities=px, fx_rows=quotes, rates=rates)
         conv.rated.agg(F.count(F.lit(1)), F.sum(F.col("old_price") * F.col("rate"))).collect()
         return round(time.perf_counter() - t, 3)
 
     once()
     runs = [once() for _ in range(3)]
-    px.unpersist(), rates.unpersist()
+    px.unpersist(), quotes.unpersist(), rates.unpersist()
     return runs
 
 
