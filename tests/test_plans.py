@@ -1,6 +1,7 @@
 """Plan shape: what the optimizer should produce at any scale."""
 
 import datetime as dt
+import re
 
 
 from fxledger.operators import clean, convert, history
@@ -43,3 +44,17 @@ def test_range_scan_pushes_filters(spark, tmp_path):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date,2026-01-03)" in p
     assert df.count() == 3
+
+
+def test_store_symbol_lookup_prunes_buckets(spark):
+    from fxledger.session import scratch_path
+    from fxledger.sources.store import PriceStore
+
+    store = PriceStore(spark, scratch_path(spark, "prune-store"), buckets=8)
+    bars = spark.createDataFrame([(f"T{i}", float(i), dt.date(2026, 1, 1)) for i in range(40)],
+                                 "ticker string, old_price double, date date")
+    store.save(bars)
+    df = store.symbol_bars(["T3", "T7"])
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)\]", p), p
+    assert sorted(r.ticker for r in df.collect()) == ["T3", "T7"]
