@@ -71,7 +71,8 @@ def gather_history(store: DataFrame, landing: DataFrame | None, targets: DataFra
 
 
 def price_book(requests: DataFrame, instruments: DataFrame, store: DataFrame,
-               as_of: dt.date, years: float = DEFAULT_COLLECTION_YEARS, landing: DataFrame | None = None,
+               as_of: dt.date, years: float = DEFAULT_COLLECTION_YEARS,
+               landing: DataFrame | None = None,
                home: str = HOME_CURRENCY, minor_units: Mapping[str, float] | None = None,
                sort: bool = False, max_instruments: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Export rows ``(ticker, price, date text)`` of the requested symbols.
@@ -107,11 +108,11 @@ def run_book(requests: DataFrame, instruments: DataFrame, store: PriceStore,
              max_instruments: int = MAX_BROADCAST_ROWS, check: bool = True) -> DataFrame:
     """The whole run with the store kept on disk.
 
-    Run the startup self-check (``check``), validate the requests, find the day ranges the store lacks, fetch them
-    from ``landing`` and upsert them into ``store`` (only touched buckets are
-    rewritten; nothing is written when nothing was fetched), then fill, quote,
-    convert, write the sorted headerless CSV to ``out_path`` and apply the
-    store retention.  Returns the export rows (over the converted table,
+    Run the startup self-check (``check``), validate the requests, find the
+    day ranges the store lacks, fetch them from ``landing`` and upsert them
+    into ``store`` (only touched buckets are rewritten; nothing is written
+    when nothing was fetched), then fill, quote, convert, write the sorted
+    headerless CSV to ``out_path`` and apply the store retention.  Returns the export rows (over the converted table,
     which is written once to the shared folder and feeds the CSV too).
     """
     if check:

@@ -93,7 +93,8 @@ def fx_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
          .join(c, o["o_custkey"] == c["c_custkey"])
          .join(n, c["c_nationkey"] == n["n_nationkey"])
          .where(rk.isin(1, 2, 3) & ((rk != 2) | (F.col("o_orderdate") >= F.lit(JPY_FROM)))))
-    pair = F.when(rk == 1, REGION_PAIR[1]).when(rk == 2, REGION_PAIR[2]).otherwise(OTHER_REGION_PAIR)
+    pair = (F.when(rk == 1, REGION_PAIR[1]).when(rk == 2, REGION_PAIR[2])
+            .otherwise(OTHER_REGION_PAIR))
     return j.select(
         pair.alias("ticker"),
         (F.col("o_totalprice") / F.lit(RATE_SCALE)).alias("old_price"),
