@@ -74,10 +74,13 @@ def rate_domain(securities_fx: DataFrame) -> DataFrame:
             .select("fx_ticker", "date").distinct())
 
 
-def asof_rates(domain: DataFrame, rates: DataFrame) -> DataFrame:
+def asof_rates(domain: DataFrame, rates: DataFrame, max_age_days: int | None = None
+               ) -> DataFrame:
     """Backward as-of: for each (fx_ticker, date) of ``domain`` the latest rate
-    with ``rate.date <= date`` (same day allowed, no staleness limit); NULL
-    when no earlier rate exists.
+    with ``rate.date <= date`` (same day allowed) and that rate's own day
+    (``rate_date``); NULL when no earlier rate exists.  With ``max_age_days``
+    a rate older than that is dropped (the row stays unresolved); by default
+    there is no staleness limit.
 
     Rates and domain days are unioned and scanned by one window per FX symbol;
     on a tie the rate sorts first, so an exact-day rate matches.
@@ -87,28 +90,36 @@ def asof_rates(domain: DataFrame, rates: DataFrame) -> DataFrame:
     quotes = rates.select("fx_ticker", "date", "rate", F.lit(0).alias("_side"))
     upto = (Window.partitionBy("fx_ticker").orderBy("date", "_side")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (days.unionByName(quotes)
-            .withColumn("_asof", F.last("rate", ignorenulls=True).over(upto))
-            .where(F.col("_side") == 1)
-            .select("fx_ticker", "date", F.col("_asof").alias("rate")))
+    quote = F.when(F.col("_side") == 0,
+                   F.struct(F.col("date").alias("d"), F.col("rate").alias("r")))
+    out = (days.unionByName(quotes)
+           .withColumn("_q", F.last(quote, ignorenulls=True).over(upto))
+           .where(F.col("_side") == 1))
+    rate = F.col("_q.r")
+    if max_age_days is not None:
+        rate = F.when(F.datediff("date", "_q.d") <= int(max_age_days), rate)
+    return out.select("fx_ticker", "date", rate.alias("rate"), F.col("_q.d").alias("rate_date"))
 
 
 def backfill_rates(asof: DataFrame) -> DataFrame:
-    """Resolve the days left without a rate by the as-of (those before the
-    first rate): take the rate of the next day of the same FX symbol that
+    """Resolve the days before the first rate of their FX symbol (no
+    ``rate_date``): take the rate of the next day of the same FX symbol that
     has one.  Adds ``backfilled``."""
     ahead = (Window.partitionBy("fx_ticker").orderBy("date")
              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    leading = F.col("rate").isNull() & F.col("rate_date").isNull()
     return (asof
-            .withColumn("backfilled", F.col("rate").isNull())
-            .withColumn("rate", F.coalesce(F.col("rate"),
-                                           F.first("rate", ignorenulls=True).over(ahead)))
+            .withColumn("backfilled", leading)
+            .withColumn("rate", F.coalesce(F.col("rate"), F.when(
+                leading, F.first("rate", ignorenulls=True).over(ahead))))
             .withColumn("backfilled", F.col("backfilled") & F.col("rate").isNotNull()))
 
 
-def domain_rates(securities_fx: DataFrame, rates: DataFrame) -> DataFrame:
-    """(fx_ticker, date, rate, backfilled) for every pair the securities need."""
-    return backfill_rates(asof_rates(rate_domain(securities_fx), rates))
+def domain_rates(securities_fx: DataFrame, rates: DataFrame,
+                 max_age_days: int | None = None) -> DataFrame:
+    """(fx_ticker, date, rate, rate_date, backfilled) for every pair the
+    securities need."""
+    return backfill_rates(asof_rates(rate_domain(securities_fx), rates, max_age_days))
 
 
 @dataclass
@@ -119,10 +130,12 @@ class Conversion:
     fx_rows: DataFrame         # cleaned FX rows
     rates: DataFrame           # RATE
     max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    max_age_days: int | None = None
 
     @cached_property
     def _pair_rates_sized(self) -> tuple[DataFrame, bool]:
-        return sized(domain_rates(self.securities, self.rates), self.max_broadcast_rows)
+        return sized(domain_rates(self.securities, self.rates, self.max_age_days),
+                     self.max_broadcast_rows)
 
     @property
     def pair_rates(self) -> DataFrame:
@@ -141,7 +154,7 @@ class Conversion:
         a currency (a NULL key would pile into one partition) skip it.
         """
         rates, small = self._pair_rates_sized
-        rates = rates.drop("backfilled")
+        rates = rates.drop("backfilled", "rate_date")
         if small:
             joined = self.securities.join(F.broadcast(rates), ["fx_ticker", "date"], "left")
             return joined.withColumn("rate", F.coalesce("fixed_rate", "rate"))
@@ -171,18 +184,21 @@ class Conversion:
 
 def prepare(df: DataFrame, home: str = HOME_CURRENCY,
             minor_units: Mapping[str, float] | None = None, order: str = "ord",
-            max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> Conversion:
+            max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+            max_age_days: int | None = None) -> Conversion:
     require_columns(df, CONVERT_COLUMNS, "conversion input")
     securities, fx_rows = split_by_type(df)
     securities = with_fx_symbol(clean_side(securities), home, minor_units)
     fx_rows = clean_side(fx_rows)
-    return Conversion(securities, fx_rows, first_rate(fx_rows, order), max_broadcast_rows)
+    return Conversion(securities, fx_rows, first_rate(fx_rows, order), max_broadcast_rows,
+                      max_age_days)
 
 
 def convert_prices(df: DataFrame, home: str = HOME_CURRENCY,
                    minor_units: Mapping[str, float] | None = None, order: str = "ord",
                    on_missing: str = "quarantine",
-                   max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                   max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                   max_age_days: int | None = None) -> DataFrame:
     """ENRICHED -> CONVERTED.
 
     Rows whose rate cannot be resolved are left out (see ``Conversion.unresolved``);
@@ -190,7 +206,7 @@ def convert_prices(df: DataFrame, home: str = HOME_CURRENCY,
     """
     if on_missing not in ("quarantine", "raise"):
         raise ValueError("on_missing must be 'quarantine' or 'raise'")
-    conv = prepare(df, home, minor_units, order, max_broadcast_rows)
+    conv = prepare(df, home, minor_units, order, max_broadcast_rows, max_age_days)
     if on_missing == "raise" and conv.unresolved.limit(1).count() > 0:
         raise ValueError("some rows have no FX rate after the back fill")
     return conv.converted

@@ -271,3 +271,14 @@ def test_self_check(spark):
         self_check(spark, req.limit(0), D(2026, 1, 4), 0.1)
     with pytest.raises(ValueError):
         self_check(spark, req, D(2026, 1, 4), 0.001)
+
+
+def test_optional_staleness_limit(spark):
+    rows = [("A", 10.0, d(1), "EQUITY", "USD"), ("A", 10.0, d(4), "EQUITY", "USD"),
+            ("A", 10.0, d(12), "EQUITY", "USD"), ("GBP=X", 0.8, d(2), "CURRENCY", "GBP")]
+    df = frame(spark, rows)
+    plain = {r.date: r.rate for r in convert.prepare(df).rated.collect()}
+    assert plain == {d(1): 0.8, d(4): 0.8, d(12): 0.8}
+    strict = {r.date: r.rate for r in convert.prepare(df, max_age_days=5).rated.collect()}
+    # d(1) precedes every rate: back filled; d(12) is 10 days after the last rate: dropped.
+    assert strict == {d(1): 0.8, d(4): 0.8, d(12): None}
