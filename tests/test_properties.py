@@ -116,3 +116,55 @@ def test_dedupe_last_property(spark, rows):
         if (t, d) not in want or o > want[(t, d)][1]:
             want[(t, d)] = (p, o)
     assert got == want
+
+
+bar = st.tuples(st.sampled_from("AB"), st.integers(0, 6), st.integers(0, 10 ** 6),
+                st.none() | st.floats(-5, 5, allow_nan=False))
+
+
+@SETTINGS
+@given(st.lists(bar, max_size=30, unique_by=lambda t: t[2]),
+       st.lists(bar, max_size=30, unique_by=lambda t: t[2]))
+def test_upsert_property(spark, stored, fresh):
+    from fxledger.operators import history
+    schema = "ticker string, old_price double, date date, ord long"
+
+    def frame(rows):
+        return spark.createDataFrame([(t, p, BASE + dt.timedelta(days=d), o)
+                                      for t, d, o, p in rows], schema)
+
+    got = {(r.ticker, r.date): r.old_price
+           for r in history.upsert(frame(stored), frame(fresh)).collect()}
+    # Fresh rows win over stored ones; within a side the latest arrival wins.
+    best = {}
+    for src, rows in ((0, stored), (1, fresh)):
+        for t, d, o, p in rows:
+            key = (t, BASE + dt.timedelta(days=d))
+            if p is not None and (key not in best or (src, o) > best[key][0]):
+                best[key] = ((src, o), p)
+    assert got == {k: v[1] for k, v in best.items()}
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["GBP=X", "S1"]), st.integers(0, 30),
+                          st.floats(0.1, 5, allow_nan=False)),
+                min_size=1, max_size=25, unique_by=lambda t: (t[0], t[1])))
+def test_calendar_fill_property(spark, bars):
+    from fxledger.operators import fill
+    df = spark.createDataFrame([(t, p, BASE + dt.timedelta(days=d)) for t, d, p in bars],
+                               "ticker string, old_price double, date date")
+    got = {(r.ticker, r.date): (r.old_price, r.filled)
+           for r in fill.calendar_fill(df).collect()}
+    want = {}
+    for t in {b[0] for b in bars}:
+        own = sorted((d, p) for tt, d, p in bars if tt == t)
+        if "=X" in t:
+            known = dict(own)
+            last = None
+            for d in range(own[0][0], own[-1][0] + 1):
+                last = known.get(d, last)
+                want[(t, BASE + dt.timedelta(days=d))] = (last, d not in known)
+        else:
+            for d, p in own:
+                want[(t, BASE + dt.timedelta(days=d))] = (p, False)
+    assert got == want
