@@ -47,3 +47,39 @@ select doc_id, n_words::bigint as n_words, word_chars, n_symbols::bigint as n_sy
        (bits & 3) <> 0 as base_failed, bits = 0 as kept, bits::bigint as fail_bits
 from b
 """
+
+
+def licenses(templates: dict[str, str], percent: int) -> str:
+    """Dice over word bigrams of every unit with every template, unpruned."""
+    rows = ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in templates.items())
+
+    def norm(x: str) -> str:
+        return (rf"string_split(trim(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+                rf"'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')), ' ')")
+
+    def pairs(x: str) -> str:
+        return (f"list_distinct(list_transform(range(1, len({x})), "
+                f"lambda i: {x}[i] || ' ' || {x}[i + 1]))")
+
+    return rf"""
+with tw as (select id, {norm('notice')} as w from (values {rows}) as v(id, notice)),
+t as (select id, unnest({pairs('w')}) as g, len({pairs('w')}) as n from tw),
+u as (
+  select doc_id, row_number() over () as unit, {norm('unit')} as w from (
+    select doc_id, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)),
+           string_split_regex(text, '\n[ \t\r]*\n')), [text]))) as unit
+    from documents where text is not null)),
+up as (select doc_id, unit, {pairs('w')} as gs from u),
+ug as (select doc_id, unit, len(gs) as n, unnest(gs) as g from up),
+hit as (
+  select doc_id, unit, id, 2.0::double * count(*) / (any_value(ug.n) + any_value(t.n)) as dice
+  from ug join t using (g) group by doc_id, unit, id
+  having 200 * count(*) >= {percent} * (any_value(ug.n) + any_value(t.n))),
+best as (
+  select doc_id, count(*) as n_matches, string_agg(distinct id, ',' order by id) as licenses,
+         first(id order by dice desc, id) as license, max(dice) as dice
+  from hit group by doc_id)
+select d.doc_id, license, dice, coalesce(n_matches, 0)::bigint as n_matches,
+       coalesce(licenses, '') as licenses
+from documents d left join best on best.doc_id = d.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fxledger.llm import oracle, quality
+from fxledger.llm import license_scan, oracle, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +20,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_rules": op5_quality_rules,
+        "op7_license_scan": op7_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": oracle.QUALITY,
+        "op7_license_scan": oracle.licenses(license_scan.TEMPLATES, license_scan.PERCENT),
     }
