@@ -83,3 +83,15 @@ select d.doc_id, license, dice, coalesce(n_matches, 0)::bigint as n_matches,
        coalesce(licenses, '') as licenses
 from documents d left join best on best.doc_id = d.doc_id
 """
+
+
+WARC = """
+with p as (
+  select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as n from pages),
+f as (
+  select sha256(body) as digest, min(page_id) as first_id from p where n >= 100 group by body)
+select p.page_id, p.n::bigint as payload_bytes, sha256(p.body) as payload_digest,
+       case when first_id <> p.page_id then 'revisit' else 'response' end as record_type,
+       case when first_id <> p.page_id then first_id end as refers_to
+from p left join f on f.digest = sha256(p.body)
+"""

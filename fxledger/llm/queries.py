@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fxledger.llm import license_scan, oracle, quality
+from fxledger.llm import files, license_scan, oracle, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +24,23 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"), files.folder(spark, "warc"))
+    return warc.read(manifest, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_rules": op5_quality_rules,
         "op7_license_scan": op7_license_scan,
+        "op9_warc_roundtrip": op9_warc_roundtrip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": oracle.QUALITY,
+        "op9_warc_roundtrip": oracle.WARC,
         "op7_license_scan": oracle.licenses(license_scan.TEMPLATES, license_scan.PERCENT),
     }
