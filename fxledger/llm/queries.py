@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.llm import files, license_scan, oracle, quality, toxicity, warc
+from fxledger.llm import files, license_scan, oracle, packing, quality, rans, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,19 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def tokenizer() -> str:
+    """The vocabulary file of the queries, where the tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -32,6 +45,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.folder(spark, "rans")
+    manifest = rans.write(table(spark, sf_dir, "documents"), path, tokenizer(), end_id=0)
+    return rans.read(manifest, path).select("doc_id", "start", "n_tokens",
+                                            F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(table(spark, sf_dir, "pages"), files.folder(spark, "warc"))
     return warc.read(manifest, payloads=False).select(
@@ -41,8 +61,10 @@ def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_fm": op1_toxicity_fm,
+        "op2_packing_kk": op2_packing_kk,
         "op5_quality_rules": op5_quality_rules,
         "op7_license_scan": op7_license_scan,
+        "op8_rans_ids": op8_rans_ids,
         "op9_warc_roundtrip": op9_warc_roundtrip,
     }
 
