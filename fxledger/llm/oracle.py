@@ -95,3 +95,42 @@ select p.page_id, p.n::bigint as payload_bytes, sha256(p.body) as payload_digest
        case when first_id <> p.page_id then first_id end as refers_to
 from p left join f on f.digest = sha256(p.body)
 """
+
+
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+DECONTAMINATE = rf"""
+with iw as (
+  select item_id::varchar as item, w from (
+    select item_id, regexp_extract_all(translate(text, {_AZ}), '{_PLAIN}') as w
+    from benchmark where text is not null) where len(w) > 0),
+ph as (
+  select distinct item, least(10, len(w)) as n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g
+  from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from iw)),
+d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_PLAIN}') as w from documents),
+word as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from d),
+win10 as (
+  select doc_id, i, concat_ws(' ', x, lead(x, 1) over o, lead(x, 2) over o, lead(x, 3) over o,
+         lead(x, 4) over o, lead(x, 5) over o, lead(x, 6) over o, lead(x, 7) over o,
+         lead(x, 8) over o, lead(x, 9) over o) as g
+  from word window o as (partition by doc_id order by i)),
+occ as (
+  select win10.doc_id, win10.i, ph.item, ph.n from win10 join ph on ph.n = 10 and ph.g = win10.g
+  union all
+  select w.doc_id, w.i, p.item, p.n
+  from (select item, n, g, string_split(g, ' ')[1] as x from ph where n < 10) p
+  join word w on w.x = p.x join d on d.doc_id = w.doc_id
+  where array_to_string(d.w[w.i:w.i + p.n - 1], ' ') = p.g),
+hit as (
+  select doc_id, count(distinct p) as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as p from occ) group by doc_id),
+it as (
+  select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items
+  from occ group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+       coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit on hit.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
+"""

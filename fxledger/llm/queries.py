@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.llm import files, license_scan, oracle, packing, quality, rans, toxicity, warc
+from fxledger.llm import files, fm_index, license_scan, oracle, packing, quality, rans, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op2_packing_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op4_decontaminate_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.digest(fm_index.find(table(spark, sf_dir, "documents"),
+                                         table(spark, sf_dir, "benchmark")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_fm": op1_toxicity_fm,
         "op2_packing_kk": op2_packing_kk,
+        "op4_decontaminate_fm": op4_decontaminate_fm,
         "op5_quality_rules": op5_quality_rules,
         "op7_license_scan": op7_license_scan,
         "op8_rans_ids": op8_rans_ids,
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontaminate_fm": oracle.DECONTAMINATE,
         "op5_quality_rules": oracle.QUALITY,
         "op9_warc_roundtrip": oracle.WARC,
         "op7_license_scan": oracle.licenses(license_scan.TEMPLATES, license_scan.PERCENT),

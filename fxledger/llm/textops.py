@@ -172,3 +172,37 @@ def rowwise(docs: DataFrame, fn: Callable[[pa.Array], list], fields: str,
 
     assert spark is not None
     return source.mapInArrow(run, schema)
+
+
+def cut_spans(found: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``doc`` with ``out.bytes`` (ascending byte ranges) cut from the
+    text.  A cut between two words leaves the white space of one side."""
+    schema = found.select("doc.*").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, out = batch.column(0), batch.column(1)
+            cols = dict(zip([f.name for f in doc.type], doc.flatten(), strict=True))
+            spans = out.field("bytes").to_pylist()
+            text = cols["text"].to_pylist()
+            for i, ranges in enumerate(spans):
+                if ranges and text[i] is not None:
+                    text[i] = without(text[i].encode(), [(r["a"], r["b"]) for r in ranges]).decode()
+            cols["text"] = pa.array(text, pa.string())
+            if "n_chars" in cols:
+                cols["n_chars"] = pa.array(
+                    [len(t) if r and t is not None else n for t, r, n in
+                     zip(text, spans, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([cols[c] for c in columns], columns)
+
+    return found.mapInArrow(run, schema)
+
+
+def without(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    out, at = [], 0
+    for a, b in ranges:
+        out.append(raw[at:a])
+        at = b
+        while at < len(raw) and raw[at:at + 1] in (b" ", b"\n", b"\t") and (not a or out[-1][-1:].isspace()):
+            at += 1
+    return b"".join([*out, raw[at:]])
