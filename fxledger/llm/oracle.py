@@ -134,3 +134,26 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
        coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit on hit.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
 """
+
+
+_LEADS = ", ".join(f"lead(x, {i}) over o" for i in range(1, 20))
+
+SUBSTRING = rf"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+word as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from d),
+win as (
+  select doc_id, i, concat_ws(' ', x, {_LEADS}) as g, lead(x, 19) over o as last_word
+  from word window o as (partition by doc_id order by i)),
+late as (
+  select doc_id, i from (
+    select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from win
+    where last_word is not null) where k > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as i from late),
+kept as (
+  select word.doc_id, string_agg(x, ' ' order by word.i) as t, count(*) as n
+  from word anti join gone on gone.doc_id = word.doc_id and gone.i = word.i group by word.doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.llm import files, fm_index, license_scan, oracle, packing, quality, rans, toxicity, warc
+from fxledger.llm import files, fm_index, license_scan, oracle, packing, quality, rans, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op2_packing_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.spans(table(spark, sf_dir, "documents")))
+
+
 def op4_decontaminate_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_index.digest(fm_index.find(table(spark, sf_dir, "documents"),
                                          table(spark, sf_dir, "benchmark")))
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_fm": op1_toxicity_fm,
         "op2_packing_kk": op2_packing_kk,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_decontaminate_fm": op4_decontaminate_fm,
         "op5_quality_rules": op5_quality_rules,
         "op7_license_scan": op7_license_scan,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": oracle.SUBSTRING,
         "op4_decontaminate_fm": oracle.DECONTAMINATE,
         "op5_quality_rules": oracle.QUALITY,
         "op9_warc_roundtrip": oracle.WARC,

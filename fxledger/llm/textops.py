@@ -60,14 +60,16 @@ class _Powers:
 
 
 class Prefix:
-    """Prefix sums over a buffer; ``of(a, b)`` hashes the byte ranges [a, b)."""
+    """Prefix sums over bytes, or over 64-bit hashes of longer items; ``of(a, b)``
+    hashes the ranges [a, b)."""
 
-    def __init__(self, buf: np.ndarray):
-        n = len(buf)
+    def __init__(self, items: np.ndarray):
+        n = len(items)
         up, self.down = _Powers.of(n + 1)
         self.sum = np.zeros(n + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(_BYTE[buf] * up[:n], out=self.sum[1:])
+            np.cumsum((_BYTE[items] if items.dtype == np.uint8 else items) * up[:n],
+                      out=self.sum[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
