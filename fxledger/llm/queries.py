@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.llm import files, fm_index, license_scan, oracle, packing, quality, rans, substring_dedup, toxicity, warc
+from fxledger.llm import files, fm_index, jaccard_join, license_scan, oracle, packing, quality, rans, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op6_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontaminate_fm": op4_decontaminate_fm,
         "op5_quality_rules": op5_quality_rules,
+        "op6_jaccard_rtree": op6_jaccard_rtree,
         "op7_license_scan": op7_license_scan,
         "op8_rans_ids": op8_rans_ids,
         "op9_warc_roundtrip": op9_warc_roundtrip,
