@@ -7,11 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.llm import files, fm_index, jaccard_join, license_scan, oracle, packing, quality, rans, substring_dedup, toxicity, warc
+from fxledger.llm import (files, fm_index, jaccard_join, license_scan, oracle, packing, quality, rans,
+                          substring_dedup, suffix_dedup, toxicity, warc)
+from fxledger.llm.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,10 @@ def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.spans(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_fm": op1_toxicity_fm,
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_license_scan": op7_license_scan,
         "op8_rans_ids": op8_rans_ids,
         "op9_warc_roundtrip": op9_warc_roundtrip,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
