@@ -1,13 +1,20 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages,
-benchmark passages, packing.  Each stage takes and returns Spark tables."""
+benchmark passages, packing.
+
+Each stage takes the documents that its predecessor kept and returns a Spark
+table; all but the last return the columns of ``documents``, whatever these
+are.  A stage that changes a text also brings ``n_chars`` up to date.  Empty
+tables pass through.  The pipeline fails loudly if the operators are missing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.llm import quality
+from fxledger.llm import fm_index, jaccard_join, packing, quality, queries, substring_dedup
+from fxledger.llm.shipping import ship
 from fxledger.session import write_scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -15,13 +22,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the default quality policy rejects."""
+    ship(spark)
     return quality.keep(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each group of near duplicates."""
+    ship(spark)
+    return jaccard_join.representatives(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of twenty words or more that an earlier document, or an
+    earlier part of the same one, holds."""
+    ship(spark)
+    return substring_dedup.clean(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the passages that occur in the benchmark."""
+    return fm_index.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the token ids of what is left into sequences: one row for each piece."""
+    ship(spark)
+    pieces = packing.pack(docs, queries.tokenizer(), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
 ]
 
+#: SQL cannot express the packing; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

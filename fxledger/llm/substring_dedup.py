@@ -171,6 +171,6 @@ def clean(docs: DataFrame) -> DataFrame:
                                pa.struct([("bytes", repeats._RANGES)]))
                 yield pa.RecordBatch.from_arrays([doc, out], ["doc", "out"])
 
-    kind = rows.select("doc").schema.add("out", f"struct<bytes:{repeats.RANGES}>")
+    kind = rows.select("doc", F.lit(None).cast(f"struct<bytes:{repeats.RANGES}>").alias("out")).schema
     return tx.cut_spans(rows.mapInArrow(run, kind), docs.columns)
 
