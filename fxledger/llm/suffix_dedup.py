@@ -80,20 +80,33 @@ class Queues:
             self.file.close()
 
 
-def doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling, for the bottom of the recursion."""
+def doubled(t: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array by prefix doubling, for the bottom of the recursion.  Only
+    suffixes that still tie are sorted again.  With ``depth``, suffixes that
+    share so many symbols may stand in any order."""
     n = len(t)
-    rank, k = np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[:n - k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank, k = new, 2 * k
-        if rank[order[-1]] == n - 1 or k >= n:
-            return order
+    order = np.argsort(t)
+    start = np.concatenate([[True], t[order][1:] != t[order][:-1]])
+    first = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = first  # the first place of the suffixes that tie
+    k = 1
+    while k < n and (depth is None or k < depth):
+        alone = start & np.append(start[1:], True)
+        place = np.flatnonzero(~alone)
+        if not len(place):
+            break
+        at = order[place]
+        second = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        by = np.argsort(rank[at] * (n + 1) + second)
+        at, second = at[by], second[by]
+        order[place] = at
+        own = rank[at]
+        start[place] = np.concatenate([[True], (own[1:] != own[:-1]) | (second[1:] != second[:-1])])
+        first = np.maximum.accumulate(np.where(start[place], place, 0))
+        rank[at] = first
+        k *= 2
+    return order
 
 
 def _deal(queues: Queues, at: np.ndarray, first: np.ndarray) -> None:
@@ -149,11 +162,12 @@ def _induce(t: np.ndarray, small: np.ndarray, size: int, lms: list[np.ndarray],
     kept.close()
 
 
-def sorted_suffixes(t: np.ndarray, memory: int = MEMORY) -> np.ndarray:
-    """Suffix array of symbols 0..k, of which the last, and only it, is 0."""
+def sorted_suffixes(t: np.ndarray, memory: int = MEMORY, depth: int | None = None) -> np.ndarray:
+    """Suffix array of symbols 0..k, of which the last, and only it, is 0.
+    Suffixes that share ``depth`` symbols may stand in any order."""
     n, size = len(t), int(t.max()) + 1
     if n <= SMALL or size > SMALL:
-        return doubled(t)
+        return doubled(t, depth)
     step = np.sign(np.diff(t.astype(np.int64)))
     at = np.where(step != 0, np.arange(n - 1), n)
     at = np.minimum.accumulate(at[::-1])[::-1]  # the next place where the symbol changes
@@ -179,7 +193,8 @@ def sorted_suffixes(t: np.ndarray, memory: int = MEMORY) -> np.ndarray:
         # 2. names repeat: the order of the LMS suffixes is that of the string of names
         name = np.zeros(n, dtype=np.int64)
         name[order] = new
-        order = lms[sorted_suffixes(name[lms], memory)]
+        # (a name stands for two symbols or more)
+        order = lms[sorted_suffixes(name[lms], memory, depth and depth // 2 + 1)]
     # 3. everything else follows from that order
     parts = [np.concatenate([big, s]) for _, big, s in _induce(t, small, size, buckets(order), memory)]
     return np.concatenate(parts[::-1])
@@ -195,7 +210,7 @@ def repeated_starts(texts: list[bytes], window: int = WINDOW, memory: int = MEMO
     whole = np.zeros(len(t), dtype=bool)
     for a, n in zip(start.tolist(), size.tolist(), strict=True):
         whole[a:a + max(0, n - window + 1)] = True
-    order = sorted_suffixes(np.append(t, 0), memory)
+    order = sorted_suffixes(np.append(t, 0), memory, window)
     order = order[order < len(t)]
     order = order[whole[order]]
     key = tx.Prefix(raw).of(order, order + window)
