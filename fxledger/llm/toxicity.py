@@ -5,8 +5,8 @@ that are neither letters nor digits), hashed into ``BUCKETS`` buckets.  The
 machine scores it by a bias, a weight for each term, and the inner products of
 the factor vectors of each pair of terms, so a pair such as an insult with the
 mention of a group can weigh more than its parts.  The pair sum is taken in
-linear time as ((sum v)^2 - sum v^2) / 2 and divided by the number of terms,
-so that long documents do not drown it.
+linear time as ((sum v)^2 - sum v^2) / 2 and divided by the root of the number
+of terms, so that long documents do not drown it.
 
 The machine is fitted on at most ``MAX_LABELLED`` labelled rows (a documented
 bound: those whose hashed id is smallest), so the driver holds a bounded number
@@ -32,7 +32,7 @@ BUCKETS = 1 << 18
 FACTORS = 4
 MAX_LABELLED = 20_000
 MIN_ROWS = 8  # a bucket seen in fewer sampled rows is not used
-EPOCHS = 8
+EPOCHS = 10
 BATCH = 256
 
 _KEEP = tx.table_of(bytes([*range(48, 58), *range(65, 91), *range(97, 123)]))
@@ -78,7 +78,7 @@ def margin(m: Machine, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     ids = ids[keep]
     v = m.factor[ids].astype(np.float64)
     pairs = (_sums(v, off) ** 2 - _sums(v * v, off)).sum(axis=1) / 2
-    return m.bias + _sums(m.weight[ids].astype(np.float64), off) + pairs / np.maximum(1, np.diff(off))
+    return m.bias + _sums(m.weight[ids].astype(np.float64), off) + pairs / np.sqrt(np.maximum(1, np.diff(off)))
 
 
 def fit(ids: np.ndarray, off: np.ndarray, label: np.ndarray, factors: int = FACTORS,
@@ -102,7 +102,7 @@ def fit(ids: np.ndarray, off: np.ndarray, label: np.ndarray, factors: int = FACT
     off = np.concatenate([[0], np.cumsum(keep)])[off]
     ids = ids[keep]
     seen = [1e-2, np.full(BUCKETS, 1e-2), np.full((BUCKETS, factors), 1e-2)]
-    size = np.maximum(1, np.diff(off))
+    size = np.sqrt(np.maximum(1, np.diff(off)))
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
