@@ -7,6 +7,9 @@
    An anchor with one content needs no comparison: its copies are equal whole.
 4. The distinct segments of the other anchors are dealt to reference shards by
    anchor, and there a matcher compares them, shard by shard in bounded memory.
+   An anchor with more than ``HOT`` contents (the edge of a passage that very many
+   documents hold) would be one task's work, so it is split into its windows:
+   their hashes are aggregated, which no single task does for a key.
 5. The verdicts go back to the documents that hold the segments, and one last
    pass over the texts removes what is covered.
 
@@ -31,6 +34,7 @@ from fxledger.llm import anchors, textops as tx
 from fxledger.session import write_scratch
 
 LEAST = -(1 << 63)
+HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -96,7 +100,8 @@ def segment_rows(docs: DataFrame, unit: Unit) -> DataFrame:
 Matcher = Callable[[Iterator[tuple[int, int, bytes]]], Iterator[tuple[int, list[tuple[int, int]]]]]
 
 
-def verdicts(docs: DataFrame, unit: Unit, matcher: Matcher, first_stays: bool) -> DataFrame:
+def verdicts(docs: DataFrame, unit: Unit, matcher: Matcher, first_stays: bool,
+             hot: int = HOT) -> DataFrame:
     """key and ``found``: for each segment content of the document with covered
     windows, their ranges [a, b) in the segment; null ranges: all of them.
 
@@ -108,30 +113,28 @@ def verdicts(docs: DataFrame, unit: Unit, matcher: Matcher, first_stays: bool) -
     kept = write_scratch(rows.join(again, "h", "left_semi"), "segments")
     content = write_scratch(kept.groupBy("c", "h").agg(F.min("key").alias("owner"),
                                                        F.sum("n").alias("t")), "contents")
-    several = content.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    wanted = (content.join(several, "h", "left_semi")
-              .groupBy("owner").agg(F.collect_list("c").alias("cs")))
+    several = (content.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+               .select("h", (F.col("k") > hot).alias("hot")))
+    wanted = (content.join(several, "h").groupBy("owner")
+              .agg(F.collect_list(F.struct("c", "hot")).alias("cs")))
 
     def cut(batches):
         for batch in batches:
-            wanted = batch.column("cs").to_pylist()
-            owner = batch.column("owner").to_pylist()
-            for a, _, buf, off in tx.slabs(texts(batch)):
-                s, _, w0, w1 = unit.segments(buf, off)
-                out, seen = [], [set() for _ in range(len(off) - 1)]
-                asked = [set(c) for c in wanted[a:a + len(off) - 1]]
-                for d, x, y, h, c in zip(*(v.tolist() for v in (s.doc, s.first, s.last, s.anchor,
-                                                                 s.content)), strict=True):
-                    if c in asked[d] and c not in seen[d]:
-                        seen[d].add(c)
-                        out.append((h, c, owner[a + d], x,
-                                    buf[w0[x]:w1[y + unit.length - 1]].tobytes()))
-                if out:
-                    yield _arrays(out, ("h", "c", "owner", "place"), "text")
-
-    shards = squeezed(docs).join(wanted, F.col("key") == F.col("owner")).select("owner", "cs", "z")
-    shards = (shards.mapInArrow(cut, "h long, c long, owner long, place long, text binary")
-              .repartition("h").sortWithinPartitions("h", "owner", "place"))
+            for at in range(0, batch.num_rows, 500):
+                yield from _cut(batch.slice(at, 500), unit)
+
+    cuts = write_scratch(
+        squeezed(docs).join(wanted, F.col("key") == F.col("owner")).select("owner", "cs", "z")
+        .mapInArrow(cut, "h long, c long, owner long, place long, i long, text binary"), "cuts")
+    shards = cuts.where("i < 0").repartition("h").sortWithinPartitions("h", "owner", "place")
+    single = cuts.where("i >= 0").select("h", "c", "owner", "place", "i").dropDuplicates(["h", "c", "place"])
+    one = F.struct("owner", "place")
+    shared = single.groupBy("h").agg(F.min(one).alias("m"), F.count(F.lit(1)).alias("copies")).where(
+        "copies > 1").withColumnRenamed("h", "w")
+    split = (single.join(shared, F.col("h") == F.col("w"))
+             .where(one != F.col("m") if first_stays else F.lit(True))
+             .groupBy("c").agg(F.array_sort(F.collect_list(
+                 F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b")))).alias("ranges")))
 
     def match(batches):
         def one_by_one():
@@ -154,7 +157,7 @@ def verdicts(docs: DataFrame, unit: Unit, matcher: Matcher, first_stays: bool) -
         if out:
             yield _matched(out)
 
-    matched = shards.select("h", "c", "text").mapInArrow(match, "c long, ranges " + RANGES)
+    matched = shards.select("h", "c", "text").mapInArrow(match, "c long, ranges " + RANGES).union(split)
     judged = content.select("c", "owner", "t").join(
         matched.withColumnRenamed("c", "mc"), F.col("c") == F.col("mc"), "left").drop("mc")
     if first_stays:
@@ -178,28 +181,59 @@ def _matched(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(r, _RANGES)], ["c", "ranges"])
 
 
-def _arrays(rows: list[tuple], numbers: tuple[str, ...], last: str) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:-1]],
-                                       pa.array(cols[-1], pa.binary())], [*numbers, last])
+def _cut(batch: pa.RecordBatch, unit: Unit) -> Iterator[pa.RecordBatch]:
+    """The wanted segments of some documents (i = -1), or for hot anchors their
+    windows (i counts them in the segment, and h is the window's own hash)."""
+    owner = batch.column("owner").to_numpy()
+    asked = [{x["c"]: x["hot"] for x in cs} for cs in batch.column("cs").to_pylist()]
+    for a, _, buf, off in tx.slabs(texts(batch)):
+        items, bounds, w0, w1 = unit.items(buf, off)
+        s = anchors.segments(items, bounds, unit.length, unit.k)
+        whole, parts, hashed = [], [], None
+        for j, (d, c) in enumerate(zip(s.doc.tolist(), s.content.tolist(), strict=True)):
+            split = asked[a + d].pop(c, None)  # only the first copy in a document
+            if split is not None:
+                (parts if split else whole).append(j)
+        if whole:
+            j = np.array(whole)
+            ends = w1[s.last[j] + unit.length - 1]
+            yield _arrays(s.anchor[j], s.content[j], owner[a + s.doc[j]], s.first[j],
+                          np.full(len(j), -1),
+                          [buf[x:y].tobytes() for x, y in zip(w0[s.first[j]], ends, strict=True)])
+        if parts:
+            hashed = tx.Prefix(items) if hashed is None else hashed
+            j = np.array(parts)
+            n = s.last[j] - s.first[j] + 1
+            i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            j = np.repeat(j, n)
+            at = s.first[j] + i
+            yield _arrays(hashed.of(at, at + unit.length).view(np.int64), s.content[j],
+                          owner[a + s.doc[j]], at, i, [None] * len(at))
+
+
+def _arrays(*cols) -> pa.RecordBatch:
+    *numbers, text = cols
+    return pa.RecordBatch.from_arrays(
+        [*[pa.array(c, pa.int64()) for c in numbers], pa.array(text, pa.binary())],
+        ["h", "c", "owner", "place", "i", "text"])
 
 
 def removed(text: pa.Array, found: list, unit: Unit, first_stays: bool) -> list[list[tuple[int, int]]]:
     """The covered item ranges [a, b) of each text, ascending and merged, and
     their byte ranges, as pairs of lists."""
-    out: list = []
+    out: list = [([], []) for _ in found]
+    some = [i for i, f in enumerate(found) if f]
+    if not some:
+        return out
+    text = text.take(pa.array(some, pa.int64()))
+    found = [found[i] for i in some]
     for a, _, buf, off in tx.slabs(text):
         n = len(off) - 1
-        if not any(found[a:a + n]):
-            out += [([], [])] * n
-            continue
         s, bounds, w0, w1 = unit.segments(buf, off)
         spans: list[list] = [[] for _ in range(n)]
-        asked = [{f["c"]: f["ranges"] for f in (found[a + d] or ())} for d in range(n)]
+        asked = [{f["c"]: f["ranges"] for f in found[a + d]} for d in range(n)]
         seen: list[set] = [set() for _ in range(n)]
         for d, x, y, c in zip(*(v.tolist() for v in (s.doc, s.first, s.last, s.content)), strict=True):
-            if not asked[d]:
-                continue
             if first_stays and c in seen[d]:
                 spans[d].append((x, y + unit.length))
                 continue
@@ -215,8 +249,9 @@ def removed(text: pa.Array, found: list, unit: Unit, first_stays: bool) -> list[
                     merged[-1][1] = max(merged[-1][1], q)
                 else:
                     merged.append([p, q])
-            out.append(([(p - int(bounds[d]), q - int(bounds[d])) for p, q in merged],
-                        [(int(w0[p]) - int(off[d]), int(w1[q - 1]) - int(off[d])) for p, q in merged]))
+            out[some[a + d]] = (
+                [(p - int(bounds[d]), q - int(bounds[d])) for p, q in merged],
+                [(int(w0[p]) - int(off[d]), int(w1[q - 1]) - int(off[d])) for p, q in merged])
     return out
 
 
