@@ -39,43 +39,45 @@ PIECE = ("doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
-    """Partition the items into k windows of near-equal sums; item indices."""
+    """Partition the items into k windows of near-equal sums; item indices.
+
+    A partial partition is the list of its (sum, node) that are not empty, in
+    descending order; a node is an item, or joins two nodes.
+    """
     if k <= 1 or not len(sizes):
         return [list(range(len(sizes)))] + [[] for _ in range(max(0, k - 1))]
-    left, right = [-1] * (len(sizes) + 1), [-1] * (len(sizes) + 1)  # node 0: empty; 1..n: items
-    heap = []
-    for i, s in enumerate(sizes.tolist()):
-        sums, nodes = np.zeros(k, dtype=np.int64), np.zeros(k, dtype=np.int64)
-        sums[0], nodes[0] = s, i + 1
-        heap.append((-s, i, sums, nodes))
+    n = len(sizes)
+    kids: list[tuple[int, int]] = []
+    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
-    count = len(heap)
+    count = n
     while len(heap) > 1:
-        _, _, sa, na = heapq.heappop(heap)
-        _, _, sb, nb = heap[0]
-        sums, a, b = sa + sb[::-1], na, nb[::-1]
-        nodes = np.where(a == 0, b, a)
-        both = np.flatnonzero((a != 0) & (b != 0))
-        if len(both):
-            nodes[both] = np.arange(len(left), len(left) + len(both))
-            left.extend(a[both].tolist())
-            right.extend(b[both].tolist())
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heap[0]
+        apart = k - len(b)  # windows of a beyond these meet windows of b, fullest with emptiest
+        if len(a) <= apart:
+            merged = a + b
+        else:
+            merged = a[:apart] + b[:k - len(a)]
+            for i in range(apart, len(a)):
+                (s, x), (t, y) = a[i], b[k - 1 - i]
+                merged.append((s + t, n + len(kids)))
+                kids.append((x, y))
+        merged.sort(reverse=True)
+        spread = merged[0][0] - (merged[-1][0] if len(merged) == k else 0)
+        heapq.heapreplace(heap, (-spread, count, merged))
         count += 1
-        base = sums[-1]
-        heapq.heapreplace(heap, (-(int(sums[0]) - int(base)), count, sums, nodes))
     out = []
-    for node in heap[0][3].tolist():
-        items, todo = [], [node] if node else []
+    for _, node in heap[0][2]:
+        items, todo = [], [node]
         while todo:
             x = todo.pop()
-            if x <= len(sizes):
-                items.append(x - 1)
+            if x < n:
+                items.append(x)
             else:
-                todo += (left[x], right[x])
+                todo += kids[x - n]
         out.append(sorted(items))
-    return out
+    return out + [[] for _ in range(k - len(out))]
 
 
 def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:

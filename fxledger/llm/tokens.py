@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import json
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_200_000
+PUNCTUATION = string.punctuation
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
 
@@ -29,6 +31,12 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _line(piece: str) -> tuple[str, str] | None:
+    """The parts around a single line end that has no other white space beside it."""
+    left, _, right = piece.partition("\n")
+    return (left, right) if left and right and not left[-1].isspace() and not right[0].isspace() else None
+
+
 class _Pieces(dict):
     """ids (little-endian unsigned 32-bit) of a piece that follows ``lead``."""
 
@@ -47,13 +55,20 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
             self.clear()
-        if self.bare is not None and piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            got = self[piece[:-1]] + self.bare[piece[-1]]
+        core = piece.rstrip(PUNCTUATION)
+        if core != piece and core.isalpha():  # letters, then other signs: two pre-tokens
+            got = self[core] + self._bare()[piece[len(core):]]
+        elif "\n" in piece and (parts := _line(piece)):
+            # a line end between words is a pre-token; such pieces rarely come back
+            return self[parts[0]] + self._bare()["\n"] + self._bare()[parts[1]]
         else:
             got = np.array(self._ids(piece), dtype="<u4").tobytes()
         self[piece] = got
         return got
 
+    def _bare(self) -> "_Pieces":
+        return self if self.bare is None else self.bare
+
 
 class Encoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids."""
