@@ -6,39 +6,51 @@ code generation and runs wherever the rows are.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
 from fxledger.constants import DAYS_PER_YEAR, EPOCH_MILLIS_FROM, PUBLIC_HOLIDAYS
 
-# The longest run of closed days is Friday holiday + weekend (or weekend + two
-# holidays), so a business day is always found within 7 days.
-_ROLL_SPAN = 7
+# Days whose epoch day is outside years 1 to 9999 are no dates.
+_FIRST_DAY, _LAST_DAY = -719162, 2932896
 
 
-def _c(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def roll_span(holidays: Sequence[str]) -> int:
+    """Days in which a business day is always found.  Five closed weekdays in a
+    row use up five holidays, so h holidays give at most h closed weekdays and
+    the weekends between and around them; with holidays on most weekdays of a
+    year, an open day may fall on weekends for some years."""
+    h = len(set(holidays))
+    if h >= 366:
+        raise ValueError("every day of the year is a holiday")
+    return h + 2 * (h // 5 + 2) if h < 200 else 366 * 12
 
 
-def day_of(c: Column | str) -> Column:
-    """Floor a timestamp (naive = UTC) to its UTC day."""
-    return _c(c).cast("date")
+def _c(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def coerce_day(c: Column | str) -> Column:
-    """Text or timestamp -> UTC day; text is read day-first; bad -> NULL.
+def coerce_day(c: Column | str, day_first: bool = False) -> Column:
+    """Text or timestamp -> UTC day; bad -> NULL.
 
-    Accepted text: ``dd/MM/yyyy`` first, then ISO dates and timestamps (an
-    explicit offset is converted to UTC before flooring).
+    Accepted text: a day with slashes, month first unless ``day_first``, or the
+    other way where only that makes a date; and ISO dates and timestamps (an
+    explicit offset is converted to UTC before flooring).  Text without a
+    date, such as a time alone, is NULL.
     """
-    s = _c(c).cast("string")
-    ts = F.coalesce(F.try_to_timestamp(s, F.lit("dd/MM/yyyy")), s.try_cast("timestamp"))
+    s = F.trim(_c(c).cast("string"))
+    orders = ("d/M/yyyy", "M/d/yyyy") if day_first else ("M/d/yyyy", "d/M/yyyy")
+    iso = F.when(s.rlike(r"^\d{4}(-|$)"), s.try_cast("timestamp"))
+    ts = F.coalesce(*[F.try_to_timestamp(s, F.lit(o)) for o in orders], iso)
     return ts.cast("date")
 
 
 def _floor_div(x: Column, d: int) -> Column:
-    return ((x - F.pmod(x, F.lit(d))) / F.lit(d)).cast("int")
+    """Whole days; NULL beyond the years 1 to 9999."""
+    days = (x - F.pmod(x, F.lit(d))) / F.lit(d)
+    return F.when(days.between(_FIRST_DAY, _LAST_DAY), days).cast("int")
 
 
 def epoch_to_day(c: Column | str) -> Column:
@@ -60,7 +72,8 @@ def epoch_seconds_to_ts(c: Column | str) -> Column:
     """
     secs = _c(c).try_cast("bigint")
     days = _floor_div(secs, 86400)
-    rest = (secs - days.cast("bigint") * 86400).cast("decimal(18,6)")
+    rest = F.pmod(secs, F.lit(86400)).cast("decimal(18,6)")
+    rest = F.when(days.isNotNull(), rest)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return epoch + F.make_dt_interval(days=days, secs=rest)
 
@@ -74,14 +87,24 @@ def roll_business_day(c: Column | str, direction: str,
     """Nearest business day on or after (``start``) / on or before (``end``) the day."""
     d = _c(c)
     if direction == "start":
-        days = F.sequence(d, F.date_add(d, _ROLL_SPAN))
+        days = F.sequence(d, F.date_add(d, roll_span(holidays)))
         return F.array_min(F.filter(days, lambda x: is_business_day(x, holidays)))
     if direction == "end":
-        days = F.sequence(F.date_sub(d, _ROLL_SPAN), d)
+        days = F.sequence(F.date_sub(d, roll_span(holidays)), d)
         return F.array_max(F.filter(days, lambda x: is_business_day(x, holidays)))
     raise ValueError("direction must be 'start' or 'end'")
 
 
+def roll_day(day: dt.date, direction: str, holidays: Sequence[str] = PUBLIC_HOLIDAYS) -> dt.date:
+    """``roll_business_day`` of one literal day, for filters that must reach a scan."""
+    step = {"start": 1, "end": -1}[direction]
+    for k in range(roll_span(holidays) + 1):
+        d = day + dt.timedelta(days=step * k)
+        if d.weekday() < 5 and d.strftime("%m-%d") not in holidays:
+            return d
+    raise ValueError("no business day found")
+
+
 def business_day_count(start: Column | str, end: Column | str) -> Column:
     """Monday-to-Friday days in ``[start, end]`` (holidays not removed); 0 if empty.
 

@@ -37,11 +37,11 @@ def coerce_price(df: DataFrame, price: Column | str) -> Column:
     return coerce_numeric(_as_col(price), text=text)
 
 
-def coerce_when(df: DataFrame, when: Column | str) -> Column:
+def coerce_when(df: DataFrame, when: Column | str, day_first: bool = False) -> Column:
     if isinstance(when, str) and isinstance(
             df.schema[when].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.col(when).cast("date")
-    return coerce_day(_as_col(when))
+    return coerce_day(_as_col(when), day_first)
 
 
 def coerce_prices(df: DataFrame, price: str = "old_price", when: str = "date") -> DataFrame:
@@ -77,6 +77,7 @@ def dedupe_last(df: DataFrame, keys: Sequence[str] = KEY, order: str = "ord") ->
     return _pick(df, keys, order, F.max_by, F.max)
 
 
-def dedupe_first(df: DataFrame, keys: Sequence[str] = KEY, order: str = "ord") -> DataFrame:
-    """One row per key: the one that arrived first (least ``order``)."""
-    return _pick(df, keys, order, F.min_by, F.min)
+def last_complete(df: DataFrame, keys: Sequence[str] = KEY, order: str = "ord") -> DataFrame:
+    """Drop incomplete bars, then keep the last arrival per key: a bar without a
+    price never hides an earlier good one of its day."""
+    return dedupe_last(drop_incomplete(df), keys, order)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fxledger.constants import CHECK_TOLERANCE, CURRENCY_TYPE, HOME_CURRENCY, NO_PAIR
 from fxledger.functions.currency import fixed_rate, fx_symbol
 from fxledger.operators.clean import coerce_prices, drop_incomplete
-from fxledger.operators.joins import MAX_BROADCAST_ROWS, broadcast_if, sized
+from fxledger.operators.joins import MAX_BROADCAST_BYTES, broadcast_if, sized
 from fxledger.schema import CONVERT_COLUMNS, require_columns
 
 
@@ -122,6 +122,10 @@ def domain_rates(securities_fx: DataFrame, rates: DataFrame,
     return backfill_rates(asof_rates(rate_domain(securities_fx), rates, max_age_days))
 
 
+class UnresolvedRates(ValueError):
+    """Rows are left without an FX rate, and the caller asked not to go on."""
+
+
 @dataclass
 class Conversion:
     """Lazy results of one conversion; each property is its own plan."""
@@ -129,13 +133,13 @@ class Conversion:
     securities: DataFrame      # cleaned security rows with fx_ticker and fixed_rate
     fx_rows: DataFrame         # cleaned FX rows
     rates: DataFrame           # RATE
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES
     max_age_days: int | None = None
 
     @cached_property
     def _pair_rates_sized(self) -> tuple[DataFrame, bool]:
         return sized(domain_rates(self.securities, self.rates, self.max_age_days),
-                     self.max_broadcast_rows)
+                     self.max_broadcast_bytes)
 
     @property
     def pair_rates(self) -> DataFrame:
@@ -184,20 +188,20 @@ class Conversion:
 
 def prepare(df: DataFrame, home: str = HOME_CURRENCY,
             minor_units: Mapping[str, float] | None = None, order: str = "ord",
-            max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+            max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
             max_age_days: int | None = None) -> Conversion:
     require_columns(df, CONVERT_COLUMNS, "conversion input")
     securities, fx_rows = split_by_type(df)
     securities = with_fx_symbol(clean_side(securities), home, minor_units)
     fx_rows = clean_side(fx_rows)
-    return Conversion(securities, fx_rows, first_rate(fx_rows, order), max_broadcast_rows,
+    return Conversion(securities, fx_rows, first_rate(fx_rows, order), max_broadcast_bytes,
                       max_age_days)
 
 
 def convert_prices(df: DataFrame, home: str = HOME_CURRENCY,
                    minor_units: Mapping[str, float] | None = None, order: str = "ord",
                    on_missing: str = "quarantine",
-                   max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
                    max_age_days: int | None = None) -> DataFrame:
     """ENRICHED -> CONVERTED.
 
@@ -206,18 +210,12 @@ def convert_prices(df: DataFrame, home: str = HOME_CURRENCY,
     """
     if on_missing not in ("quarantine", "raise"):
         raise ValueError("on_missing must be 'quarantine' or 'raise'")
-    conv = prepare(df, home, minor_units, order, max_broadcast_rows, max_age_days)
+    conv = prepare(df, home, minor_units, order, max_broadcast_bytes, max_age_days)
     if on_missing == "raise" and conv.unresolved.limit(1).count() > 0:
-        raise ValueError("some rows have no FX rate after the back fill")
+        raise UnresolvedRates("some rows have no FX rate after the back fill")
     return conv.converted
 
 
-def ordered(converted: DataFrame) -> DataFrame:
-    """Converted rows by day, then symbol (a range-partitioned sort; apply it
-    at the sink only)."""
-    return converted.orderBy("date", "ticker")
-
-
 def conversion_check(converted_securities: DataFrame, rated: DataFrame,
                      tolerance: float = CHECK_TOLERANCE) -> DataFrame:
     """Rows of a stored conversion whose price differs from old price x rate."""

@@ -15,7 +15,8 @@ def calendar_fill(bars: DataFrame, marker: str = PAIR_SUFFIX) -> DataFrame:
     """Give FX series (symbol contains ``marker``) a bar on every calendar day
     between their first and last bar, carrying the last value forward.
 
-    ``bars`` holds one row per (ticker, date).  Each bar is stretched up to
+    ``bars`` holds one row per (ticker, date); rows that repeat a day pass
+    through, and only the last of them is carried on.  Each bar is stretched up to
     the day before the next bar with ``lead`` + ``explode``: one window over
     the FX rows (at most one row per symbol-day), no calendar join.  Other
     symbols pass through.  Adds ``filled`` (true for created days).
@@ -24,7 +25,7 @@ def calendar_fill(bars: DataFrame, marker: str = PAIR_SUFFIX) -> DataFrame:
     nxt = F.lead("date").over(Window.partitionBy("ticker").orderBy("date"))
     extra = [c for c in bars.columns if c not in ("ticker", "date")]
     stretched = (bars.where(fx)
-                 .withColumn("_until", F.coalesce(F.date_sub(nxt, 1), F.col("date")))
+                 .withColumn("_until", F.greatest(F.coalesce(F.date_sub(nxt, 1), F.col("date")), F.col("date")))
                  .withColumn("_day", F.explode(F.sequence("date", "_until")))
                  .select("ticker", F.col("_day").alias("date"), *extra,
                          (F.col("_day") != F.col("date")).alias("filled")))

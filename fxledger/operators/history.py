@@ -102,6 +102,8 @@ def upsert(stored: DataFrame, fresh: DataFrame, order: str = "ord") -> DataFrame
 
     def side(df: DataFrame, src: int) -> DataFrame:
         ord_col = F.col(order) if order in df.columns else F.lit(0).cast(ord_type)
+        # a bar without an arrival order counts as the first of its side
+        ord_col = F.coalesce(ord_col, F.lit(-(1 << 63)).cast(ord_type))
         bars = df.select("ticker", "old_price", "date", ord_col.alias("_ord"))
         return drop_incomplete(coerce_prices(bars)).withColumn("_src", F.lit(src))
 

@@ -14,20 +14,24 @@ from fxledger.functions.numeric import coerce_numeric
 
 def normalise_instruments(meta: DataFrame, symbol: str = "ticker",
                           epoch: str = "first_trade_epoch", type_: str = "quote_type",
-                          currency: str = "currency", bid: str = "bid") -> DataFrame:
+                          currency: str = "currency", bid: str = "bid",
+                          order: str | None = None) -> DataFrame:
     """Raw metadata -> INSTRUMENT(ticker, earliest_ts, type, currency, bid).
 
     Symbol upper-cased (rows without one are dropped), first-trade epoch
     seconds -> timestamp, missing type/currency -> "Unknown", a bid that is
-    not a number -> NULL.
+    not a number -> NULL.  One row per symbol: the last by ``order`` (NULL
+    first); of rows that tie, or without an order, the greatest by value.
     """
     bid_is_text = not isinstance(meta.schema[bid].dataType, T.NumericType)
+    row = F.struct(F.col(order).alias("_order") if order else F.lit(0).alias("_order"),
+                   epoch_seconds_to_ts(epoch).alias("earliest_ts"),
+                   F.coalesce(F.col(type_).cast("string"), F.lit(UNKNOWN)).alias("type"),
+                   F.coalesce(F.col(currency).cast("string"), F.lit(UNKNOWN)).alias("currency"),
+                   coerce_numeric(F.col(bid), text=bid_is_text).alias("bid"))
     return (meta.where(F.col(symbol).isNotNull())
-            .select(F.upper(F.col(symbol)).alias("ticker"),
-                    epoch_seconds_to_ts(epoch).alias("earliest_ts"),
-                    F.coalesce(F.col(type_).cast("string"), F.lit(UNKNOWN)).alias("type"),
-                    F.coalesce(F.col(currency).cast("string"), F.lit(UNKNOWN)).alias("currency"),
-                    coerce_numeric(F.col(bid), text=bid_is_text).alias("bid")))
+            .groupBy(F.upper(F.col(symbol)).alias("ticker")).agg(F.max(row).alias("_last"))
+            .select("ticker", "_last.earliest_ts", "_last.type", "_last.currency", "_last.bid"))
 
 
 def is_valid(instruments: DataFrame):

@@ -13,20 +13,22 @@ FX_SYMBOL = ("case when {c} is null then null when {c} in ('GBP', 'GBp') then '-
              "when {c} = 'USD' then 'GBP=X' else {c} || 'GBP=X' end")
 
 V_PX = f"""v_px as (
-  select 'S' || cast(l_suppkey as varchar) as ticker, l_extendedprice / l_quantity as old_price,
+  select 'S' || cast(l_suppkey as varchar) as ticker, case when l_linenumber <> 7 then l_extendedprice / l_quantity end as old_price,
          cast(l_shipdate as date) as date, 'EQUITY' as type, {CCY} as currency,
          row_number() over (partition by l_suppkey, l_shipdate
                             order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as ord
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)"""
 
 V_FX = """v_fx as (
-  select case n_regionkey when 1 then 'GBP=X' when 2 then 'JPYGBP=X' else 'EURGBP=X' end as ticker,
-         o_totalprice / 250000.0 as old_price, cast(o_orderdate as date) as date,
-         'CURRENCY' as type, 'GBP' as currency,
-         row_number() over (partition by n_regionkey, o_orderdate order by o_orderkey) as ord
-  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
-  where n_regionkey in (1, 2, 3) and o_orderpriority = '1-URGENT'
-    and (n_regionkey <> 2 or o_orderdate >= timestamp '1995-06-01 00:00:00'))"""
+  select * from (
+    select case n_regionkey when 1 then 'GBP=X' when 2 then 'JPYGBP=X' else 'EURGBP=X' end as ticker,
+           o_totalprice / 250000.0 as old_price,
+           cast(o_orderdate as date) + (case when n_regionkey = 2 then 150 else 0 end) as date,
+           'CURRENCY' as type, 'GBP' as currency,
+           row_number() over (partition by n_regionkey, o_orderdate order by o_orderkey) as ord
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+    where n_regionkey in (1, 2, 3))
+  where isodow(date) < 6)"""
 
 V_RAW = "v_raw as (select * from v_px union all select * from v_fx)"
 
@@ -62,7 +64,7 @@ N_FX_INST = """n_fx_inst as (
 D_RAW = """d_raw as (
   select ticker, date, max_by(old_price, ord) as old_price, max_by(type, ord) as type,
          max_by(currency, ord) as currency, max(ord) as ord
-  from v_raw group by ticker, date)"""
+  from v_raw where old_price is not null group by ticker, date)"""
 
 RATES = """rates as (
   select ticker as fx_ticker, date, min_by(old_price, ord) as rate
@@ -111,7 +113,8 @@ EV = """ev as (
          event_id as ord, ts, event_id from events)"""
 
 D_PX = """d_px as (
-  select ticker, date, max_by(old_price, ord) as old_price from v_px group by ticker, date)"""
+  select ticker, date, max_by(old_price, ord) as old_price from v_px where old_price is not null
+  group by ticker, date)"""
 
 REQ = """req as (
   select upper(symbol) as ticker, min(pos) as pos from v_req where symbol is not null
@@ -202,7 +205,7 @@ BOOK_WINDOW = f"""win as (
   select {roll_fwd("date '2001-11-01' - cast(round_even(0.5 * 365.25, 0) as integer)")} as wstart,
          {roll_back("date '2001-11-01'")} as wend)"""
 
-PRICE_BOOK = with_views(
+_BOOK_CTES = (
     V_PX, V_FX, V_RAW, V_INST, V_REQ, N_INST, N_FX_INST, N_ALL, REQ, VALID.format(inst="n_all"),
     NEED,
     """full_set as (
@@ -219,7 +222,7 @@ PRICE_BOOK = with_views(
   from full_set f
   where f.earliest_ts is null or f.earliest_ts <= cast((select wend from win) as timestamp))""",
     """store as (select ticker, date, max_by(old_price, ord) as old_price, max(ord) as ord
-          from v_raw where date <= date '2001-06-30' group by ticker, date)""",
+          from v_raw where date <= date '2001-06-30' and old_price is not null group by ticker, date)""",
     "stored as (select * from store where ticker in (select ticker from targets))",
     "cov as (select ticker, min(date) as f, max(date) as l from stored group by ticker)",
     """rng as (select t.ticker, t.fetch_start as s, t.fetch_end as e, c.f, c.l
@@ -244,10 +247,19 @@ PRICE_BOOK = with_views(
   left join full_set f on a.ticker = f.ticker)""",
     *conversion_ctes(src="enriched"),
     CONV,
-) + """select c.ticker, c.price, strftime(c.date, '%d/%m/%Y') as date
+)
+
+PRICE_BOOK = with_views(*_BOOK_CTES) + """select c.ticker, c.price, strftime(c.date, '%d/%m/%Y') as date
 from conv c where c.date >= (select wstart from win)"""
 
 
+_NO_EUR_CTES = tuple(c.replace("from v_fx)", "from v_fx where ticker <> 'EURGBP=X')")
+                     if c is N_FX_INST else c for c in _BOOK_CTES)
+
+BOOK_UNRESOLVED = with_views(*_NO_EUR_CTES) + """select ticker, date, currency, fx_ticker
+from rated where rate is null and date >= (select wstart from win)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "bar_normalise": f"""
@@ -278,7 +290,7 @@ where old_price is not null and date is not null and ticker is not null""",
         "dedupe_last": with_views(V_PX) + """
 select ticker, date, max_by(old_price, ord) as old_price, max_by(type, ord) as type,
        max_by(currency, ord) as currency
-from v_px group by ticker, date""",
+from v_px where old_price is not null group by ticker, date""",
         "split_by_type": with_views(V_PX, V_FX, V_INST) + """
 select ticker, date, old_price, type,
        case when type is not distinct from 'CURRENCY' then 'fx' else 'security' end as side
@@ -314,7 +326,7 @@ select count(*) as n_rows,
          as n_fx_converted,
        count(*) filter (where fx_ticker = '-') as n_home,
        count(*) filter (where rate is null) as n_unresolved
-from rated""", eur=False),
+from rated"""),
         "date_coverage": convert_query("""
 select count(*) filter (where s = 1) as n_security_days,
        count(*) filter (where f = 1) as n_fx_days,
@@ -399,7 +411,7 @@ from n_inst where earliest_ts is null or earliest_ts <= timestamp '2000-06-30'""
         "missing_ranges": with_views(
             EV,
             """sd as (select ticker, date, max_by(old_price, ord) as old_price from ev
-        where event_id % 3 <> 0 and date <= date '2024-01-20' and date >= date '2024-01-06'
+        where date <= date '2024-01-20' and date >= date '2024-01-06'
         group by ticker, date)""",
             "cov as (select ticker, min(date) as f, max(date) as l from sd group by ticker)",
             """rng as (select t.ticker, date '2024-01-01' as s, date '2024-01-30' as e, c.f, c.l
@@ -415,7 +427,7 @@ select p.ticker, p.date, p.old_price from d_px p
 join clip c on p.ticker = c.ticker and p.date between c.fetch_start and c.fetch_end""",
         "upsert_prices": with_views(EV, f"""u as (
   select ticker, old_price, date, ord, 0 as src from ev
-  where event_id % 3 <> 0 and date <= date '2024-01-20' and {COMPLETE}
+  where date <= date '2024-01-20' and {COMPLETE}
   union all
   select ticker, old_price * cast(1.01 as double), date, ord, 1 from ev
   where date >= date '2024-01-18' and {COMPLETE})""") + """
@@ -424,7 +436,7 @@ select ticker, date, max_by(old_price, row(src, ord)) as old_price from u group
 select ticker, max_by(old_price, ord) as old_price, date from ev where {COMPLETE}
 group by ticker, date""",
         "store_expiry": with_views(
-            EV, "st as (select * from ev where event_id % 3 <> 0 and date <= date '2024-01-20')",
+            EV, "st as (select * from ev)",
             "d as (select ticker, date, max_by(old_price, ord) as old_price from st "
             "group by ticker, date)",
             "w as (select ticker, max(ts) as last_write from st group by ticker)") + """
@@ -434,5 +446,14 @@ where w.last_write >= timestamp '2024-02-09 18:00:00' - interval 20 day""",
 select ticker, price, strftime(date, '%d/%m/%Y') as date from conv
 where date >= date '2001-06-01'""", extra=(CONV,)),
         "price_book": PRICE_BOOK,
+        "book_unresolved": BOOK_UNRESOLVED,
+        "book_rejects": with_views(V_FX, V_INST, V_REQ, N_INST, N_FX_INST, N_ALL, REQ) + """
+select * from (
+  select r.pos, r.ticker,
+         case when n.type is null then 'unknown symbol' when length(r.ticker) = 0 then 'empty symbol'
+              when n.type = 'Unknown' then 'missing type'
+              when n.currency = 'Unknown' then 'missing currency' end as reason
+  from req r left join n_all n on r.ticker = n.ticker)
+where reason is not null""",
         "price_book_stored": PRICE_BOOK,
     }

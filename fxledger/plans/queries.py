@@ -19,7 +19,7 @@ from fxledger.functions.numeric import coerce_numeric
 from fxledger.operators import clean, convert, fill, history, instruments
 from fxledger.operators.joins import bounded_broadcast
 from fxledger.plans import params as P
-from fxledger.plans.price_book import price_book, run_book
+from fxledger.plans.price_book import Book, book, run_book
 from fxledger.session import ensure_checkpoint_dir, ensure_utc, scratch_path, write_scratch
 from fxledger.sources import fixtures as fx
 from fxledger.sources.export import export_rows
@@ -56,21 +56,21 @@ def deduped_raw(spark: SparkSession, sf_dir: str, with_eur: bool = True,
     quotes = fx.fx_bars(spark, sf_dir)
     if not with_eur:
         quotes = quotes.where(F.col("ticker") != P.EUR_PAIR)
-    deduped = clean.dedupe_last(fx.security_bars(spark, sf_dir).unionByName(quotes), SYMBOL_DAY)
+    deduped = clean.last_complete(fx.security_bars(spark, sf_dir).unionByName(quotes), SYMBOL_DAY)
     return write_scratch(deduped, "deduped-bars") if materialise else deduped
 
 
 def store_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Security bars as a store: one row per symbol-day (ticker, old_price, date)."""
     bars = fx.security_bars(spark, sf_dir).select("ticker", "old_price", "date", "ord")
-    return clean.dedupe_last(bars).select("ticker", "old_price", "date")
+    return clean.last_complete(bars).select("ticker", "old_price", "date")
 
 
 def instrument_table(spark: SparkSession, sf_dir: str, with_fx: bool = False) -> DataFrame:
     meta = fx.instrument_meta(spark, sf_dir)
     if with_fx:
         meta = meta.unionByName(fx.fx_instrument_meta(spark, sf_dir))
-    return instruments.normalise_instruments(meta)
+    return instruments.normalise_instruments(meta, order="s_suppkey")
 
 
 def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +78,8 @@ def event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_events(spark: SparkSession, sf_dir: str, last_day) -> DataFrame:
-    """The stored slice of the event store (every third event never arrived)."""
-    ev = event_store(spark, sf_dir)
-    return ev.where((F.col("event_id") % 3 != 0) & (F.col("date") <= F.lit(last_day).cast("date")))
+    """The stored slice of the event store: what had arrived by ``last_day``."""
+    return event_store(spark, sf_dir).where(F.col("date") <= F.lit(last_day).cast("date"))
 
 
 # -- sources, projections, casts -----------------------------------------------
@@ -110,7 +109,7 @@ def q_coerce_day(spark, sf_dir):
              .when(ln == 6, F.date_format("l_shipdate", "yyyy-MM-dd"))
              .otherwise(F.date_format("l_shipdate", "dd/MM/yyyy")))
     return li.select("l_orderkey", "l_linenumber", "l_partkey",
-                     coerce_day(text).alias("date"))
+                     coerce_day(text, day_first=True).alias("date"))
 
 
 @query
@@ -138,7 +137,7 @@ def q_drop_incomplete(spark, sf_dir):
 @query
 def q_dedupe_last(spark, sf_dir):
     """Keep the last arrival per symbol-day."""
-    return clean.dedupe_last(fx.security_bars(spark, sf_dir), SYMBOL_DAY).drop("ord")
+    return clean.last_complete(fx.security_bars(spark, sf_dir), SYMBOL_DAY).drop("ord")
 
 
 @query
@@ -220,7 +219,7 @@ def q_conversion_check(spark, sf_dir):
 @query
 def q_conversion_summary(spark, sf_dir):
     """A5: rows converted through a pair, home rows, unresolved rows."""
-    return convert.conversion_summary(_conversion(spark, sf_dir, with_eur=False).rated)
+    return convert.conversion_summary(_conversion(spark, sf_dir).rated)
 
 
 @query
@@ -267,7 +266,7 @@ def q_collection_window(spark, sf_dir):
 # -- FX fill and provisional quotes ---------------------------------------------
 
 def _fx_store(spark, sf_dir) -> DataFrame:
-    return clean.dedupe_last(fx.fx_bars(spark, sf_dir).select("ticker", "old_price", "date",
+    return clean.last_complete(fx.fx_bars(spark, sf_dir).select("ticker", "old_price", "date",
                                                                "ord")).drop("ord")
 
 
@@ -399,7 +398,7 @@ def q_store_roundtrip(spark, sf_dir):
 @query
 def q_store_expiry(spark, sf_dir):
     """Symbols whose last write is older than the maximum age are removed."""
-    ev = stored_events(spark, sf_dir, P.EVENTS_STORED_TO)
+    ev = event_store(spark, sf_dir)
     bars = clean.dedupe_last(ev.select("ticker", "old_price", "date", "ord"))
     last_write = ev.groupBy("ticker").agg(F.max("ts").cast("timestamp").alias("written_at"))
     return (expire(bars.join(last_write, "ticker"), P.EXPIRY_NOW, P.EXPIRY_DAYS)
@@ -412,30 +411,47 @@ def q_export_rows(spark, sf_dir):
     return export_rows(convert.convert_prices(deduped_raw(spark, sf_dir)), P.EXPORT_START)
 
 
+def _book(spark: SparkSession, sf_dir: str, with_eur: bool = True) -> Book:
+    """The book over raw bars (the landing area) and a store that holds the
+    deduplicated bars up to BOOK_STORED_TO."""
+    raw = fx.raw_bars(spark, sf_dir).select("ticker", "old_price", "date", "ord")
+    store = clean.last_complete(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO)))
+    inst = instrument_table(spark, sf_dir, with_fx=True)
+    if not with_eur:
+        inst = inst.where(F.col("ticker") != P.EUR_PAIR)
+    return book(fx.requests(spark, sf_dir), inst, store, P.BOOK_AS_OF, P.BOOK_YEARS, landing=raw)
+
+
 @query
 def q_price_book(spark, sf_dir):
     """3.1: requests -> validated instruments -> stored history + fetched gaps
     -> FX fill -> provisional quotes -> conversion -> export rows."""
-    # The landing area: raw bars as files (written once); the store holds
-    # the deduplicated bars up to BOOK_STORED_TO.
-    raw = write_scratch(fx.raw_bars(spark, sf_dir).select("ticker", "old_price", "date", "ord"),
-                        "landing-bars")
-    store = clean.dedupe_last(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO)))
-    return price_book(fx.requests(spark, sf_dir), instrument_table(spark, sf_dir, with_fx=True),
-                      store, P.BOOK_AS_OF, P.BOOK_YEARS, landing=raw)
+    return _book(spark, sf_dir).rows
+
+
+@query
+def q_book_unresolved(spark, sf_dir):
+    """Q1 in the run: rows of the book left without a rate when the EUR pair has
+    no metadata, so that its quotes are never fetched."""
+    return _book(spark, sf_dir, with_eur=False).unresolved
+
+
+@query
+def q_book_rejects(spark, sf_dir):
+    """D4 in the run: the requests that the book dropped, with the reason."""
+    return _book(spark, sf_dir).rejects
 
 
 @query
 def q_price_book_stored(spark, sf_dir):
     """3.1 with the store on disk: gaps fetched from the landing bars are
     upserted into a bucketed Parquet store, the CSV is written, retention runs."""
-    raw = write_scratch(fx.raw_bars(spark, sf_dir).select("ticker", "old_price", "date", "ord"),
-                        "landing-bars")
+    raw = fx.raw_bars(spark, sf_dir).select("ticker", "old_price", "date", "ord")
     store = PriceStore(spark, scratch_path(spark, "book-store"), buckets=P.STORE_BUCKETS)
-    store.save(clean.dedupe_last(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO))).drop("ord"))
+    store.save(clean.last_complete(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO))).drop("ord"))
     return run_book(fx.requests(spark, sf_dir), instrument_table(spark, sf_dir, with_fx=True),
                     store, raw, P.BOOK_AS_OF, scratch_path(spark, "book-csv"),
-                    years=P.BOOK_YEARS)
+                    years=P.BOOK_YEARS).rows
 
 
 def queries() -> dict[str, Query]:

@@ -20,38 +20,6 @@ ENRICHED = T.StructType(PRICE.fields + [
     T.StructField("currency", T.StringType()),
 ])
 
-INSTRUMENT = T.StructType([
-    T.StructField("ticker", T.StringType()),
-    T.StructField("earliest_ts", T.TimestampNTZType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("currency", T.StringType()),
-    T.StructField("bid", T.DoubleType()),
-])
-
-RATE = T.StructType([
-    T.StructField("fx_ticker", T.StringType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("rate", T.DoubleType()),
-])
-
-CONVERTED = T.StructType([
-    T.StructField("ticker", T.StringType()),
-    T.StructField("price", T.DoubleType()),
-    T.StructField("date", T.DateType()),
-])
-
-REQUEST = T.StructType([
-    T.StructField("pos", T.LongType()),
-    T.StructField("symbol", T.StringType()),
-])
-
-GAP = T.StructType([
-    T.StructField("ticker", T.StringType()),
-    T.StructField("gap_start", T.DateType()),
-    T.StructField("gap_end", T.DateType()),
-])
-
-# Columns kept in the price store (plus the bookkeeping columns of the store).
 STORE_COLUMNS = ("ticker", "old_price", "date")
 EXPORT_COLUMNS = ("ticker", "price", "date")
 CONVERT_COLUMNS = ("date", "type", "ticker", "old_price", "currency")

@@ -9,8 +9,6 @@ The same definitions are written as SQL for the DuckDB oracle
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Fixed values of the fixtures: currency of each region key, FX pair of each
@@ -20,8 +18,8 @@ OTHER_REGION_CURRENCY = "GBp"
 REGION_PAIR = {1: "GBP=X", 2: "JPYGBP=X"}
 OTHER_REGION_PAIR = "EURGBP=X"
 RATE_SCALE = 250000.0
-URGENT = "1-URGENT"
-JPY_FROM = dt.datetime(1995, 6, 1)
+JPY_LAG_DAYS = 150   # JPY is quoted this long after the order
+NO_PRICE_LINE = 7    # bars of this line number arrive without a price
 FIRST_EPOCH = 788918400  # 1995-01-01
 
 
@@ -46,17 +44,14 @@ def _supplier_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Arrival order of a lineitem bar: (order key, line number, part key), which
-# is unique within a supplier-day, packed into one BIGINT so that "keep
-# last" aggregates over fixed-width buffers (hash aggregation).  The part key
-# takes the low 9 digits; the packing is exact while part keys stay below
-# 1e9 and order keys below 1.1e9 (scale factors up to ~760).  Beyond that the
-# ANSI overflow check fails the query instead of reordering silently.
-PART_SLOT = 1_000_000_000
-
-
+# is unique within a supplier-day, packed digit by digit into one
+# DECIMAL(38,0): the order key takes the digits above 19, the line number the
+# next one, the part key the low 18.  Keys below 1e18 fit, and a decimal
+# keeps "keep last" a hash aggregate.
 def arrival(orderkey: Column, linenumber: Column, partkey: Column) -> Column:
-    return ((orderkey.cast("long") * 8 + linenumber.cast("long")) * F.lit(PART_SLOT)
-            + partkey.cast("long"))
+    head = orderkey.cast("decimal(18,0)") * F.lit(10).cast("decimal(2,0)") + linenumber.cast("decimal(1,0)")
+    return (head.cast("decimal(19,0)") * F.lit("1" + "0" * 18).cast("decimal(19,0)")
+            + partkey.cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def security_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +70,8 @@ def security_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
          .join(nat, F.col("s_nationkey") == nat["n_nationkey"]))
     return j.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("old_price"),
+        F.when(F.col("l_linenumber") != NO_PRICE_LINE, F.col("l_extendedprice") / F.col("l_quantity"))
+         .alias("old_price"),
         F.col("l_shipdate").cast("date").alias("date"),
         F.lit("EQUITY").alias("type"),
         region_currency(F.col("n_regionkey")).alias("currency"),
@@ -83,25 +79,26 @@ def security_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v_fx: gappy daily FX quotes from urgent orders; JPY starts in June 1995."""
+    """v_fx: daily FX quotes of all orders of three regions, with gaps (closed
+    days have no quotes) and a late first JPY quote."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
-                                               "o_orderdate", "o_orderpriority")
+                                               "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     rk = F.col("n_regionkey")
-    j = (o.where(F.col("o_orderpriority") == URGENT)
-         .join(c, o["o_custkey"] == c["c_custkey"])
+    j = (o.join(c, o["o_custkey"] == c["c_custkey"])
          .join(n, c["c_nationkey"] == n["n_nationkey"])
-         .where(rk.isin(1, 2, 3) & ((rk != 2) | (F.col("o_orderdate") >= F.lit(JPY_FROM)))))
+         .where(rk.isin(1, 2, 3)))
+    day = F.date_add(F.col("o_orderdate").cast("date"), F.when(rk == 2, JPY_LAG_DAYS).otherwise(0))
     pair = (F.when(rk == 1, REGION_PAIR[1]).when(rk == 2, REGION_PAIR[2])
             .otherwise(OTHER_REGION_PAIR))
     return j.select(
         pair.alias("ticker"),
         (F.col("o_totalprice") / F.lit(RATE_SCALE)).alias("old_price"),
-        F.col("o_orderdate").cast("date").alias("date"),
+        day.alias("date"),
         F.lit("CURRENCY").alias("type"),
         F.lit("GBP").alias("currency"),
-        F.col("o_orderkey").alias("ord"))
+        F.col("o_orderkey").alias("ord")).where(F.weekday("date") < 5)
 
 
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

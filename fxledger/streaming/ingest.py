@@ -14,15 +14,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from fxledger.operators.clean import normalise_bars
-from fxledger.session import scratch_path
 from fxledger.sources.store import PriceStore
 
 
 def start_ingest(spark: SparkSession, landing: str, schema: StructType, store: PriceStore,
                  ticker: str = "ticker", price: str = "old_price", when: str = "date",
-                 order: str | None = "ord", checkpoint: str | None = None,
+                 order: str | None = "ord", *, checkpoint: str,
                  available_now: bool = True) -> StreamingQuery:
-    """Merge bar files from ``landing`` into ``store``.
+    """Merge bar files from ``landing`` into ``store``.  ``checkpoint`` is the
+    stream's own folder: a restart goes on from it, and never replays old files
+    over newer bars.
 
     ``available_now`` processes what is there and stops (scheduled runs);
     otherwise the query keeps polling.
@@ -34,6 +35,6 @@ def start_ingest(spark: SparkSession, landing: str, schema: StructType, store: P
         store.upsert(bars, order=order or "ord")
 
     writer = (stream.writeStream.foreachBatch(merge)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest-ckpt")))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()

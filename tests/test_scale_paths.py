@@ -36,7 +36,7 @@ def test_conversion_fallback_equals_broadcast(spark):
     src = Q.deduped_raw(spark, SF)
     small = rows(convert.convert_prices(src))
     with no_auto_broadcast(spark):
-        big = convert.convert_prices(src, max_broadcast_rows=0)
+        big = convert.convert_prices(src, max_broadcast_bytes=0)
         plan = big._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
         assert small == rows(big)
@@ -44,12 +44,12 @@ def test_conversion_fallback_equals_broadcast(spark):
 
 def test_price_book_fallback_equals_broadcast(spark):
     raw = fx.raw_bars(spark, SF).select("ticker", "old_price", "date", "ord")
-    store = clean.dedupe_last(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO)))
+    store = clean.last_complete(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO)))
     args = (fx.requests(spark, SF), Q.instrument_table(spark, SF, with_fx=True), store,
             P.BOOK_AS_OF, P.BOOK_YEARS)
     a = rows(price_book(*args, landing=raw))
     with no_auto_broadcast(spark):
-        b = rows(price_book(*args, landing=raw, max_instruments=0))
+        b = rows(price_book(*args, landing=raw, max_broadcast_bytes=0))
     assert a == b
 
 
@@ -90,7 +90,7 @@ def test_run_book_persists_and_matches_price_book(spark):
     from fxledger.sources.store import PriceStore
 
     raw = fx.raw_bars(spark, SF).select("ticker", "old_price", "date", "ord")
-    seed = clean.dedupe_last(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO)))
+    seed = clean.last_complete(raw.where(F.col("date") <= F.lit(P.BOOK_STORED_TO)))
     req, inst = fx.requests(spark, SF), Q.instrument_table(spark, SF, with_fx=True)
     expected = rows(price_book(req, inst, seed, P.BOOK_AS_OF, P.BOOK_YEARS, landing=raw))
 
@@ -99,7 +99,7 @@ def test_run_book_persists_and_matches_price_book(spark):
     before = store.bars().count()
     out = scratch_path(spark, "run-book-csv")
     got = run_book(req, inst, store, raw, P.BOOK_AS_OF, out, years=P.BOOK_YEARS)
-    assert rows(got) == expected
+    assert rows(got.rows) == expected
     assert store.bars().count() > before          # fetched bars were persisted
     lines = [ln for f in sorted(glob.glob(out.removeprefix("file:") + "/part-*"))
              for ln in open(f).read().splitlines()]
@@ -107,4 +107,4 @@ def test_run_book_persists_and_matches_price_book(spark):
     # A second run finds nothing new to fetch and gives the same rows.
     again = run_book(req, inst, store, raw, P.BOOK_AS_OF, scratch_path(spark, "csv2"),
                      years=P.BOOK_YEARS)
-    assert rows(again) == expected
+    assert rows(again.rows) == expected
