@@ -216,14 +216,13 @@ def convert_prices(df: DataFrame, home: str = HOME_CURRENCY,
     return conv.converted
 
 
-def conversion_check(converted_securities: DataFrame, rated: DataFrame,
-                     tolerance: float = CHECK_TOLERANCE) -> DataFrame:
-    """Rows of a stored conversion whose price differs from old price x rate."""
-    expected = rated.select("ticker", "date", "old_price", "rate")
-    return (converted_securities.join(expected, ["ticker", "date"])
-            .where(F.abs(F.col("rate") * F.col("old_price") - F.col("price")) > tolerance)
-            .select("ticker", "date", "price",
-                    (F.col("rate") * F.col("old_price")).alias("expected")))
+def conversion_check(stored: DataFrame, tolerance: float = CHECK_TOLERANCE) -> DataFrame:
+    """Rows of a stored conversion (ticker, date, old_price, rate, price) whose
+    price is missing or differs from old price x rate.  The stored rows carry
+    what they were made from, so the check is one filter."""
+    expected = F.col("rate") * F.col("old_price")
+    return (stored.where(F.col("price").isNull() | (F.abs(expected - F.col("price")) > tolerance))
+            .select("ticker", "date", "price", expected.alias("expected")))
 
 
 def conversion_summary(rated: DataFrame) -> DataFrame:

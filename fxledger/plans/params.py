@@ -20,7 +20,7 @@ EVENTS_FROM = dt.date(2024, 1, 1)
 EVENTS_TO = dt.date(2024, 1, 30)
 EVENTS_STORED_FROM = dt.date(2024, 1, 6)
 EVENTS_STORED_TO = dt.date(2024, 1, 20)
-EVENTS_AS_OF = dt.date(2024, 1, 31)
+EVENTS_AS_OF = dt.date(2024, 1, 21)  # the day after the stored slice: gaps start on it
 EVENTS_FRESH_FROM = dt.date(2024, 1, 18)
 FRESH_FACTOR = 1.01
 

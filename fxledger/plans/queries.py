@@ -211,9 +211,14 @@ def q_unresolved_rates(spark, sf_dir):
 
 @query
 def q_conversion_check(spark, sf_dir):
-    """Converted prices that disagree with old price x rate."""
-    conv = _conversion(spark, sf_dir)
-    return convert.conversion_check(conv.converted_securities, conv.rated)
+    """Prices of a written conversion that disagree with old price x rate.
+    The prices of every 13th of a month are written wrong, to be found."""
+    rated = _conversion(spark, sf_dir).rated.where(F.col("rate").isNotNull())
+    wrong = F.when(F.dayofmonth("date") == 13, F.lit(1.25)).otherwise(F.lit(1.0))
+    stored = write_scratch(rated.select(
+        "ticker", "date", "old_price", "rate",
+        (F.col("old_price") * F.col("rate") * wrong).alias("price")), "stored-conversion")
+    return convert.conversion_check(stored)
 
 
 @query
