@@ -11,10 +11,13 @@ the similarity of their sets is ``PERCENT`` / 100 or more.
    the join is, never what it finds.  These few shingles are dealt to tasks
    by hash, as packed arrays.
 3. For each shingle that several sets hold, the smallest set id leads a block
-   of all of them, so any two linked sets meet in a block.  A block larger than
-   ``BLOCK`` sets is split: its parts are searched on their own, each with the
-   leader; only where parts then are not in one component are pairs of parts
-   searched as well.
+   of all of them, so any two linked sets meet in a block.  Texts move to blocks
+   in three passes, each for what the last left open: first every set only to
+   the block of the leader with which it shares most; then the blocks whose sets
+   are not yet in one component; and for blocks larger than ``BLOCK``, which
+   these passes search in parts, each with the leader, the pairs of parts.
+   Only sets that a bound from their count vectors (see 4) leaves a possible
+   partner in the block move at all; the vectors are short.
 4. In a block, each set is a point: the counts of its shingles in ``GROUPS``
    hash groups.  The points are indexed in an R-tree.  The sum over the groups
    of the smaller of two counts bounds the overlap of two sets, and with the
@@ -44,7 +47,7 @@ from fxledger.session import write_scratch
 
 SHINGLE = 5
 PERCENT = 80
-GROUPS = 64
+GROUPS = 256
 LEAF = 16
 BLOCK = 2000
 SAMPLE_DOCS = 10_000
@@ -75,18 +78,36 @@ def set_id(s: np.ndarray) -> int:
     return int(tx.Prefix(s).of(np.array([0]), np.array([len(s)])).view(np.int64)[0])
 
 
+def vector(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall in each hash group."""
+    return np.bincount((tx.mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+
+
+def pack(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest unsigned width that holds them."""
+    top = int(counts.max())
+    return counts.astype("<u1" if top < 256 else "<u2" if top < 65_536 else "<u4").tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // GROUPS}").astype(np.int32)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """key, s (id of the set), n (its size) of every row."""
+    """key, s (id of the set), n (its size), vec (its count vector) of every row."""
 
     def run(batches):
         for batch in batches:
-            found = list(shingles(batch.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([set_id(x) for x in found], pa.int64()),
-                 pa.array([len(x) for x in found], pa.int64())], ["key", "s", "n"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rows = [(set_id(x), len(x), pack(vector(x))) for x in shingles(part.column("text"))]
+                s, n, vec = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.array(s, pa.int64()), pa.array(n, pa.int64()),
+                     pa.array(vec, pa.binary())], ["key", "s", "n", "vec"])
 
     return (docs.select(repeats.key(docs).alias("key"), "text")
-            .mapInArrow(run, "key long, s long, n long"))
+            .mapInArrow(run, "key long, s long, n long, vec binary"))
 
 
 def frequent(docs: DataFrame, sample: int = SAMPLE_DOCS, share: float = SAMPLE_SHARE) -> np.ndarray:
@@ -157,7 +178,7 @@ def _heads(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _led(heads: DataFrame) -> DataFrame:
-    """leader, s: every set with the leader of each shingle it shares."""
+    """leader, s, n: every set with the leaders of the n shingles it shares."""
 
     def led(t: list[bytes], o: list[bytes]) -> pa.RecordBatch | None:
         x = np.frombuffer(b"".join(t), np.uint64)
@@ -173,9 +194,10 @@ def _led(heads: DataFrame) -> DataFrame:
         leader, s = leader[many], s[many]
         if not len(s):
             return None
-        pair = np.unique(np.rec.fromarrays([leader, s]))
+        pair, n = np.unique(np.rec.fromarrays([leader, s]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair.f0)),
-                                           pa.array(np.ascontiguousarray(pair.f1))], ["leader", "s"])
+                                           pa.array(np.ascontiguousarray(pair.f1)), pa.array(n)],
+                                          ["leader", "s", "n"])
 
     def run(batches):
         bucket, t, o = None, [], []
@@ -191,7 +213,8 @@ def _led(heads: DataFrame) -> DataFrame:
             yield out
 
     return (heads.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(run, "leader long, s long").distinct())
+            .mapInArrow(run, "leader long, s long, n long")
+            .groupBy("leader", "s").agg(F.sum("n").alias("n")))
 
 
 class RTree:
@@ -223,11 +246,9 @@ class RTree:
         return at
 
 
-def links(sets: list[np.ndarray], labels: list, apart: list | None = None,
-          percent: int = PERCENT) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], labels: list, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between the sets that join different components; each link is
-    verified.  ``labels``: known components; ``apart``: pairs with equal values
-    here are known not to need a search."""
+    verified.  ``labels``: known components."""
     n = len(sets)
     parent = list(range(n))
 
@@ -242,8 +263,7 @@ def links(sets: list[np.ndarray], labels: list, apart: list | None = None,
         if label is not None:
             parent[i] = named.setdefault(label, i)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    points = np.stack([np.bincount((tx.mix(s) >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-                       for s in sets])
+    points = np.stack([vector(s) for s in sets]).astype(np.int32)
     tree = RTree(points, sizes)
     back = tree.order
     comp = np.array([root(i) for i in back])        # component of each point, by place in the tree
@@ -270,7 +290,7 @@ def links(sets: list[np.ndarray], labels: list, apart: list | None = None,
         changed = False
         for q in tree.candidates(points[i], int(sizes[i]), alike, percent).tolist():
             j = int(back[q])
-            if j == i or root(i) == root(j) or (apart is not None and apart[i] == apart[j]):
+            if j == i or root(i) == root(j):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
@@ -285,11 +305,11 @@ def links(sets: list[np.ndarray], labels: list, apart: list | None = None,
     return out
 
 
-def _search(rows: DataFrame, spare: bool) -> DataFrame:
-    """a, b: links in the blocks of ``rows`` (block, part, rep, s, label, z)."""
+def _search(rows: DataFrame) -> DataFrame:
+    """a, b: links in the blocks of ``rows`` (block, rep, s, label, z)."""
 
     def block(members: list[tuple]) -> list[tuple[int, int]]:
-        part, rep, s, label, z = zip(*members, strict=True)
+        rep, s, label, z = zip(*members, strict=True)
         unpack = zstandard.ZstdDecompressor()
         text = pa.array([unpack.decompress(x) for x in z], pa.large_binary())
         seen, keep, sets = set(), [], []
@@ -300,13 +320,13 @@ def _search(rows: DataFrame, spare: bool) -> DataFrame:
                 sets.append(x)
         if len(sets) < 2:
             return []
-        found = links(sets, [label[i] for i in keep], [part[i] for i in keep] if spare else None)
+        found = links(sets, [label[i] for i in keep])
         return [(rep[keep[i]], rep[keep[j]]) for i, j in found]
 
     def run(batches):
         now, members, out = None, [], []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("block", "part", "rep", "s", "label", "z")]
+            cols = [batch.column(c).to_pylist() for c in ("block", "rep", "s", "label", "z")]
             for name, *row in zip(*cols, strict=True):
                 if name != now:
                     out += block(members) if len(members) > 1 else []
@@ -319,7 +339,7 @@ def _search(rows: DataFrame, spare: bool) -> DataFrame:
         if out:
             yield _edges(out)
 
-    return (rows.select("block", "part", "rep", "s", "label", "z").repartition("block")
+    return (rows.select("block", "rep", "s", "label", "z").repartition("block")
             .sortWithinPartitions("block", "rep").mapInArrow(run, "a long, b long"))
 
 
@@ -328,41 +348,122 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _sift(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The rows whose count vector leaves them a possible partner, of another
+    component, in their block."""
+
+    def keep(members: list[tuple]) -> list[tuple]:
+        points = np.stack([unpack(m[-1]) for m in members])
+        sizes = points.sum(axis=1, dtype=np.int64)
+        names: dict = {}
+        comp = np.array([names.setdefault(("c", m[2]) if m[2] is not None else ("s", m[1]), i)
+                         for i, m in enumerate(members)])
+        tree = RTree(points, sizes)
+        place = comp[tree.order]
+        lo = hi = place
+        spread = [(lo, hi)]
+        for k in range(len(tree.levels) - 2, -1, -1):
+            cut = tree.levels[k][3][:-1]
+            lo, hi = np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)
+            spread.insert(0, (lo, hi))
+        found = np.zeros(len(members), dtype=bool)
+        for at, i in enumerate(tree.order.tolist()):
+            def alike(k: int, boxes: np.ndarray, mine=place[at]) -> np.ndarray:
+                return (spread[k][0][boxes] == mine) & (spread[k][1][boxes] == mine)
+
+            near = tree.candidates(points[i], int(sizes[i]), alike)
+            if len(near):
+                found[tree.order[near]] = found[i] = True
+        return [m[:-1] for m, f in zip(members, found.tolist(), strict=True) if f]
+
+    def run(batches):
+        now, members, out = None, [], []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("block", "rep", "s", "label", "vec")]
+            for name, *row in zip(*cols, strict=True):
+                if name != now:
+                    if len(members) > 1:
+                        out += [(now, *m) for m in keep(members)]
+                    now, members = name, []
+                members.append(tuple(row))
+            if len(out) > 10_000:
+                yield _kept(out)
+                out = []
+        if len(members) > 1:
+            out += [(now, *m) for m in keep(members)]
+        if out:
+            yield _kept(out)
+
+    return (rows.select("block", "rep", "s", "label").join(vectors, F.col("s") == F.col("set")).drop("set")
+            .repartition("block").sortWithinPartitions("block", "rep")
+            .mapInArrow(run, "block long, rep long, s long, label long"))
+
+
+def _kept(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)],
+                                      ["block", "rep", "s", "label"])
+
+
+def _parts(rows: DataFrame, block: int) -> DataFrame:
+    """Blocks of (leader, s, rep) rows; a large one in parts, each with the leader."""
+    sizes = rows.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
+    own = F.array(F.pmod(F.xxhash64("s"), F.col("parts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    rows = rows if "label" in rows.columns else rows.withColumn("label", F.lit(None).cast("long"))
+    return (rows.join(sizes, "leader")
+            .withColumn("part", F.explode(F.when(F.col("s") == F.col("leader"), every).otherwise(own)))
+            .withColumn("block", F.xxhash64("leader", "part")))
+
+
+def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows, labelled, of the leaders whose sets are in several components."""
+    rows = rows.join(label, F.col("rep") == F.col("node"), "left").withColumn(
+        "label", F.coalesce("component", "rep")).drop("node", "component")
+    mixed = (rows.groupBy("leader").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+             .where("x <> y").select("leader"))
+    return rows.join(mixed, "leader", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = write_scratch(_sets(docs), "sets")
     nodes = rows.where("n > 0").groupBy("s").agg(F.min("key").alias("rep"))
-    led = _led(_heads(docs, buckets))
-    sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"))
-    members = write_scratch(
-        led.join(sizes, "leader").join(nodes, "s")
-        .withColumn("parts", F.ceil(F.col("m") / block).cast("long"))
-        .withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts"))), "members")
+    vectors = rows.select(F.col("s").alias("set"), "vec", "key").join(
+        nodes.select(F.col("s").alias("of"), "rep"), (F.col("set") == F.col("of"))
+        & (F.col("key") == F.col("rep"))).groupBy("set").agg(F.first("vec").alias("vec"))
+    members = write_scratch(_led(_heads(docs, buckets)).join(nodes, "s"), "members")
     text = repeats.squeezed(docs)
-    whole = (members.select("leader", "s", "rep", "parts", F.explode(
-                F.when(F.col("s") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-                .otherwise(F.array("part"))).alias("part"))
-             .withColumn("block", F.xxhash64("leader", "part"))
-             .withColumn("label", F.lit(None).cast("long")))
-    found = write_scratch(_search(whole.join(text, F.col("rep") == F.col("key")), False), "links")
-    label = components(found)
 
-    # blocks in parts: members of other components than the rest meet all parts
-    large = members.where("parts > 1").join(label, F.col("rep") == F.col("node"), "left").withColumn(
-        "label", F.coalesce("component", "rep")).drop("node", "component")
-    apart = (large.groupBy("leader").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-             .where("x <> y").select("leader"))
-    pairs = (large.join(apart, "leader", "left_semi")
-             .select("s", "rep", "part", "label", "leader", "parts", F.explode(
-                 F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-             .where("other <> part")
-             .withColumn("block", F.xxhash64("leader", F.least("part", "other"), F.greatest("part", "other"))))
-    pairs = write_scratch(pairs, "pairs")
-    if not pairs.isEmpty():
-        more = _search(pairs.join(text, F.col("rep") == F.col("key")), True)
-        label = components(found.union(more))
+    def linked(blocks: DataFrame) -> DataFrame:
+        # a sort-merge join at every size: it may be split where a set is in very many blocks
+        sifted = write_scratch(_sift(blocks, vectors), "sifted")
+        return write_scratch(_search(sifted.join(text.hint("merge"), F.col("rep") == F.col("key"))),
+                             "links")
+
+    # 1. each set with the leader it shares most shingles with
+    best = (members.where("s <> leader").groupBy("s", "rep")
+            .agg(F.max(F.struct("n", "leader")).alias("m")).select("m.leader", "s", "rep"))
+    heads = best.select("leader").distinct().join(
+        nodes.withColumnRenamed("s", "leader"), "leader").select("leader", F.col("leader").alias("s"), "rep")
+    found = linked(_parts(best.union(heads), block))
+
+    # 2. the blocks that hold several components
+    rest = write_scratch(_parts(_open(members, components(found)), block), "open")
+    if not rest.isEmpty():
+        found = found.union(linked(rest))
+
+    # 3. of the blocks in parts, the pairs of parts, if they hold several components still
+    split = rest.where("parts > 1 and (s <> leader or part = 0)").select("leader", "s", "rep", "part", "parts")
+    if not split.isEmpty():
+        pairs = (_open(split, components(found))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+                 .where("other <> part")
+                 .withColumn("block", F.xxhash64("leader", F.least("part", "other"),
+                                                 F.greatest("part", "other"))))
+        found = found.union(linked(pairs))
+    label = components(found)
 
     class_of = nodes.join(label, F.col("rep") == F.col("node"), "left").select(
         F.col("s").alias("set"), F.coalesce("component", "rep").alias("cid"))
