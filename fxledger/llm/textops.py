@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 U64 = np.uint64
 #: Bytes 0x09-0x0D and 0x20 separate words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
