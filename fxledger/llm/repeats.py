@@ -7,7 +7,7 @@
    An anchor with one content needs no comparison: its copies are equal whole.
 4. The distinct segments of the other anchors are dealt to reference shards by
    anchor, and there a matcher compares them, shard by shard in bounded memory.
-   An anchor with more than ``HOT`` contents (the edge of a passage that very many
+   An anchor with more than ``hot`` contents (the edge of a passage that very many
    documents hold) would be one task's work, so it is split into its windows:
    their hashes are aggregated, which no single task does for a key.
 5. The verdicts go back to the documents that hold the segments, and one last
@@ -255,8 +255,9 @@ def removed(text: pa.Array, found: list, unit: Unit, first_stays: bool) -> list[
     return out
 
 
-def spans(docs: DataFrame, unit: Unit, matcher: Matcher, first_stays: bool) -> DataFrame:
+def spans(docs: DataFrame, unit: Unit, matcher: Matcher, first_stays: bool,
+          hot: int = HOT) -> DataFrame:
     """doc_id, z (compressed text), found.  Null where nothing is covered."""
-    v = verdicts(docs, unit, matcher, first_stays).withColumnRenamed("key", "vkey")
+    v = verdicts(docs, unit, matcher, first_stays, hot).withColumnRenamed("key", "vkey")
     return (squeezed(docs).join(v, F.col("key") == F.col("vkey"), "left")
             .select(F.when(F.col("key") != LEAST, F.col("key")).alias("doc_id"), "z", "found"))

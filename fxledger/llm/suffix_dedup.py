@@ -34,6 +34,8 @@ ANCHOR = 32
 SHARD_BYTES = 4 << 20
 MEMORY = 256 << 20
 SMALL = 4096
+#: Contents of one anchor (about 600 bytes each) that a shard still takes whole.
+HOT = 20_000
 UNIT = repeats.Unit(False, WINDOW, ANCHOR)
 
 
@@ -246,7 +248,7 @@ def match(rows: Iterator[tuple[int, int, bytes]], window: int = WINDOW,
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, z, found: see ``repeats.spans``."""
-    return repeats.spans(docs, UNIT, match, first_stays=False)
+    return repeats.spans(docs, UNIT, match, first_stays=False, hot=HOT)
 
 
 def digest(found: DataFrame) -> DataFrame:
