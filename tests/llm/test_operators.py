@@ -123,6 +123,14 @@ def test_suffix_dedup(docs, rows):
     assert got == brute.suffix(small)
 
 
+def test_suffix_dedup_hot_anchors(docs, rows):
+    small = [(i, t) for i, t in rows if t is None or len(t) < 20_000]
+    few = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 20_000)
+    found = repeats.spans(few, suffix_dedup.UNIT, suffix_dedup.match, False, hot=1)
+    got = by_id(suffix_dedup.digest(found), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.suffix(small)
+
+
 def test_suffix_dedup_odd_tables(docs, rows, nothing):
     assert suffix_dedup.digest(suffix_dedup.spans(nothing)).count() == 0
     got = by_id(suffix_dedup.digest(suffix_dedup.spans(docs)), "n_bytes", "n_removed")
