@@ -1,7 +1,7 @@
 """Fixture tables over the driver's TPC-H-style parquet files.
 
 They give the price book realistic inputs whose size grows with the scale
-factor: lineitem rows are security bars, urgent orders are FX quotes,
+factor: lineitem rows are security bars, orders are FX quotes,
 suppliers are instruments, events are intraday ticks for the store.
 The same definitions are written as SQL for the DuckDB oracle
 (``fxledger.plans.oracle``).
