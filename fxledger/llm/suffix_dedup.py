@@ -31,11 +31,11 @@ from fxledger.llm import repeats, textops as tx
 
 WINDOW = 400
 ANCHOR = 32
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 MEMORY = 256 << 20
 SMALL = 4096
 #: Contents of one anchor (about 600 bytes each) that a shard still takes whole.
-HOT = 20_000
+HOT = 10_000
 UNIT = repeats.Unit(False, WINDOW, ANCHOR)
 
 
