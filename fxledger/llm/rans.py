@@ -1,8 +1,8 @@
 """Token-id files by a static range asymmetric numeral system (rANS).
 
 One table of frequencies, counted over all ids, serves every file.  A file is a
-row of blocks of whole documents, in ascending order of the document key; each
-block is coded on its own by up to ``LANES`` interleaved 64-bit states, so one
+row of blocks of whole documents, neighbours in ascending order of the document
+key; each block is coded on its own by up to ``LANES`` interleaved 64-bit states, so one
 numpy operation steps all lanes, and any block can be decoded alone.  The index
 at the end of a file holds a checkpoint for each block (its place, and the ids
 before it in the file), and blocks, index and table carry checksums.
@@ -196,8 +196,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
     shared = spark.sparkContext.broadcast(table)  # a fixed size: the vocabulary and 2**scale slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, out, size, index = shared.value, None, 0, []
-        name = f"{path}/{files.attempt_name('ids', '.rans')}"
+        # a read partition may hold several token files, in any order, so a file
+        # of blocks ends where the next document is not the neighbour
+        table, out, size, index, name, last = shared.value, None, 0, [], "", None
         docs_, parts, held, total, n_docs, first = [], [], 0, 0, 0, None
 
         def flush() -> None:
@@ -214,27 +215,35 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
             parts.clear()
             held = 0
 
+        def finish() -> pa.RecordBatch:
+            if parts:
+                flush()
+            raw = b"".join(struct.pack(ENTRY, *e) for e in index)
+            out.write(raw + struct.pack(FOOT, size, len(index), zlib.crc32(raw), TAIL))
+            out.close()
+            return pa.RecordBatch.from_pydict({
+                "file": [name], "bytes": [size + len(raw) + struct.calcsize(FOOT)], "first_pos": [first],
+                "documents": [n_docs], "ids": [total]})
+
         for batch in batches:
             for pos, d, x in zip(batch.column("pos").to_pylist(), batch.column("doc_id").to_pylist(),
                                  _ids(batch), strict=True):
+                if out is not None and pos != last + 1:
+                    yield finish()
+                    out = None
                 if out is None:
-                    first, out = pos, files.create(name)
+                    name = f"{path}/{files.attempt_name('ids', '.rans')}"
+                    first, total, n_docs, index, out = pos, 0, 0, [], files.create(name)
                     out.write(struct.pack(HEAD, MAGIC, table.scale, table.checksum))
                     size = struct.calcsize(HEAD)
+                last = pos
                 docs_.append((d, len(x)))
                 parts.append(x)
                 held += len(x)
                 if held >= BLOCK_IDS:
                     flush()
         if out is not None:
-            if parts:
-                flush()
-            raw = b"".join(struct.pack(ENTRY, *e) for e in index)
-            out.write(raw + struct.pack(FOOT, size, len(index), zlib.crc32(raw), TAIL))
-            out.close()
-            yield pa.RecordBatch.from_pydict({
-                "file": [name], "bytes": [size + len(raw) + struct.calcsize(FOOT)], "first_pos": [first],
-                "documents": [n_docs], "ids": [total]})
+            yield finish()
 
     return write_scratch(ids.select("pos", "doc_id", "width", "z").mapInArrow(run, MANIFEST),
                          "rans-manifest")

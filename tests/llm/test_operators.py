@@ -313,6 +313,30 @@ def test_rans_files(spark, docs, rows, vocabulary, repeated, nothing):
     assert len(r) == repeated.count() and len({x["start"] for x in r}) == len(r)
 
 
+def test_rans_many_token_files_in_one_read_partition(spark, vocabulary):
+    from fxledger.llm.shipping import ship
+
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    rows = [(i, " ".join(f"w{i * j}" for j in range(1 + i))) for i in range(200)]  # later files are larger
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = ship(spark).createDataFrame(rows, "doc_id long, text string")
+        path = files.folder(spark, "rans-many")
+        got = sorted(rans.read(rans.write(docs, path, vocabulary), path).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    at = 0
+    want = ids_of(rows, vocabulary, 0)
+    assert [r["doc_id"] for r in got] == sorted(want)
+    for r in got:
+        assert (r["start"], r["n_tokens"]) == (at, len(want[r["doc_id"]]))
+        assert np.frombuffer(r["ids"], "<u4").tolist() == want[r["doc_id"]]
+        at += r["n_tokens"]
+
+
 def test_rans_blocks_and_damage():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 1023, 5000):
