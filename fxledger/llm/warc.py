@@ -9,7 +9,8 @@ gzip magic in its range and validates each candidate: the member must inflate
 to a WARC header block, and pass the member's checksum, and end where the next
 member or the end of the file is.  A record belongs to the task in whose range
 it starts, and that task reads past the end of the range to finish it, so a
-range may begin anywhere.
+range may begin anywhere.  The manifest keeps where the records start, and a
+task that finds another number of records in its range fails.
 
 Null html is an empty payload.  A null url becomes ``urn:x-page:none``.  Pages
 repeated with the same page_id and payload are all responses, if that page_id
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -33,12 +35,11 @@ from fxledger.session import write_scratch
 MIN_DUPLICATE = 100
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 20
-MAX_HEADER = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-MANIFEST = "file string, bytes long, records long"
+MANIFEST = "file string, bytes long, records long, starts array<long>"
 RECORD = ("page_id long, url string, record_type string, payload_bytes long, "
           "payload_digest string, refers_to long, payload binary")
 
@@ -94,7 +95,7 @@ def write(pages: DataFrame, path: str, level: int = 6,
     later step can make the archives be written again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size, n = None, 0, 0
+        out, size, starts = None, 0, array("q")
         name = f"{path}/{files.attempt_name('pages', '.warc.gz')}"
         for batch in batches:
             cols = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")]
@@ -103,10 +104,13 @@ def write(pages: DataFrame, path: str, level: int = 6,
                     out = files.create(name)
                 data = _member(record(*[c[i].as_py() for c in cols]), level)
                 out.write(data)
-                size, n = size + len(data), n + 1
+                starts.append(size)
+                size += len(data)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": [size], "records": [n]})
+            yield pa.RecordBatch.from_pydict({
+                "file": [name], "bytes": [size], "records": [len(starts)],
+                "starts": pa.array([starts], pa.list_(pa.int64()))})
 
     rows = classify(pages, min_duplicate).select("page_id", "url", "payload", "digest", "refers_to")
     return write_scratch(rows.mapInArrow(run, MANIFEST), "warc-manifest")
@@ -142,7 +146,7 @@ def _valid(f, size: int, at: int) -> tuple[bytes, int] | None:
     if head is None or not head[0].startswith(b"WARC/1."):
         return None
     whole = _inflate(f, size, at)
-    if whole is None or b"\r\n\r\n" not in whole[0][:MAX_HEADER]:
+    if whole is None or b"\r\n\r\n" not in whole[0]:
         return None
     end = whole[1]
     return whole if end == size or _window(f, size, end, 3) == MAGIC else None
@@ -194,10 +198,15 @@ def parse(raw: bytes) -> tuple:
 
 
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """The records of the archives that the manifest (file, bytes) lists."""
-    ranges = manifest.where("bytes > 0").select(
-        "file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1,
-                                              F.lit(split_bytes).cast("long"))).alias("start"))
+    """The records of the archives that the manifest of ``write`` lists; fails if
+    their number is not the manifest's."""
+    sound = F.when(F.size("starts") == F.col("records"), F.col("starts")).otherwise(
+        F.raise_error(F.concat(F.lit("the manifest does not hold a start for each record of "), "file")))
+    here = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("bytes", F.lit(1)) - 1,
+                                F.lit(split_bytes).cast("long")))
+    ranges = (manifest.select("file", "bytes", sound.alias("starts"), here.alias("start"))
+              .select("file", "bytes", "start", F.size(F.filter("starts", lambda s: (
+                  s >= F.col("start")) & (s < F.col("start") + split_bytes))).alias("records")))
     # one short row for each range; dealt evenly, as ranges cost alike
     spark = manifest.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism,
@@ -209,10 +218,11 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rows, held = [], 0
+                rows, held, found = [], 0, 0
                 for raw in records_in(row["file"], row["bytes"], row["start"],
                                       min(row["start"] + split_bytes, row["bytes"])):
                     rec = parse(raw)
+                    found += 1
                     rows.append(rec if payloads else rec[:6] + (None,))
                     held += len(raw) if payloads else 200
                     if held > READ_BYTES:
@@ -220,6 +230,9 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = T
                         rows, held = [], 0
                 if rows:
                     yield _batch(rows, schema)
+                if found != row["records"]:
+                    raise ValueError(f"{found} records instead of {row['records']} start in "
+                                     f"{row['file']} from {row['start']} on")
 
     return ranges.repartition(tasks).mapInArrow(run, RECORD)
 

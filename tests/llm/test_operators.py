@@ -377,6 +377,34 @@ def test_warc(spark, split):
         assert r["payload"] == (b if keep == i else None)
 
 
+@pytest.mark.parametrize("split", [1000, 4 << 20])
+def test_warc_long_urls(spark, split):
+    rows = [(1, "data:text/plain," + "a" * 70_000, "z" * 200), (2, "http://a/" + "\u65e5" * 8000, "y" * 200),
+            (3, "http://a/3", "z" * 200), (4, "http://a/4", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read(warc.write(pages, files.folder(spark, "warc-long")), split_bytes=split).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [
+        (1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "response", None)]
+    assert {r["page_id"]: r["url"] for r in got}[1] == rows[0][1]
+
+
+def test_warc_lost_records_fail(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * 50) for i in range(9)],
+                                  "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(pages, files.folder(spark, "warc-lost"))
+    row = manifest.collect()[0]
+    with files.open_random(row["file"]) as f:
+        data = bytearray(f.read())
+    data[row["starts"][4] + 40] ^= 0xFF  # damage of one member
+    path = tmp_path / "bad.warc.gz"
+    path.write_bytes(bytes(data))
+    for split in (100, 4 << 20):
+        with pytest.raises(Exception, match="records instead of"):
+            warc.read(manifest.withColumn("file", F.lit(str(path))), split_bytes=split).collect()
+    with pytest.raises(Exception, match="a start for each record"):
+        warc.read(manifest.withColumn("records", F.col("records") + 1)).collect()
+
+
 def test_warc_odd_tables(spark):
     kind = "page_id long, url string, html string"
     none = warc.write(spark.createDataFrame([], kind), files.folder(spark, "warc-none"))
