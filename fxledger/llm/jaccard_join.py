@@ -6,9 +6,10 @@ the similarity of their sets is ``PERCENT`` / 100 or more.
 
 1. Equal sets collapse to one node (its smallest doc_id stands for it).
 2. Two linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each
-   in any common order.  The order used puts shingles that a bounded sample
-   found to be frequent last, then goes by hash; the sample decides how fast
-   the join is, never what it finds.  These few shingles are dealt to tasks
+   in any common order.  The order used puts frequent shingles last, then goes
+   by hash; shingles are counted over all documents, in ``CELLS`` cells of their
+   hashes, and those of a full cell pass for frequent.  The order decides how
+   fast the join is, never what it finds.  These few shingles are dealt to tasks
    by hash, as packed arrays.
 3. For each shingle that several sets hold, the smallest set id leads a block
    of all of them, so any two linked sets meet in a block.  Texts move to blocks
@@ -50,8 +51,9 @@ PERCENT = 80
 GROUPS = 256
 LEAF = 16
 BLOCK = 2000
-SAMPLE_DOCS = 10_000
-SAMPLE_SHARE = 1e-3
+CELLS = 1 << 22
+PART = 1 << 18
+SHARE = 1e-3
 LEAST = repeats.LEAST
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -110,23 +112,62 @@ def _sets(docs: DataFrame) -> DataFrame:
             .mapInArrow(run, "key long, s long, n long, vec binary"))
 
 
-def frequent(docs: DataFrame, sample: int = SAMPLE_DOCS, share: float = SAMPLE_SHARE) -> np.ndarray:
-    """Shingles in more than ``share`` of at most ``sample`` documents (those
-    with the smallest hashed ids): at most 1 / share times the mean set size."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+def cells(x: np.ndarray) -> np.ndarray:
+    """The cell of each shingle in the counts of ``frequent``."""
+    return (tx.mix(x) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
-    def run(batches):
+
+def frequent(docs: DataFrame, share: float = SHARE) -> np.ndarray:
+    """Whether each of ``CELLS`` cells is full: shingles fall in it more often than
+    ``share`` times the number of documents, and 8 times the mean of the cells.
+    All documents count; tasks send packed counts, of a fixed size."""
+
+    def count(batches):
+        total, n = np.zeros(CELLS, np.uint32), 0
         for batch in batches:
-            for x in shingles(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["x"])
+            for at in range(0, batch.num_rows, 2000):
+                got = [x for x in shingles(batch.column("text").slice(at, 2000)) if len(x)]
+                if got:
+                    np.add.at(total, cells(np.concatenate(got)), 1)
+                    n += len(got)
+        if n:
+            squeeze = zstandard.ZstdCompressor(level=1)
+            parts = [np.array([n], np.uint32), *total.reshape(-1, PART)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(parts)), pa.int64()),
+                 pa.array([squeeze.compress(x.astype("<u8").tobytes()) for x in parts], pa.binary())],
+                ["part", "z"])
+
+    def add(batches):
+        squeeze, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        now, total = None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now], pa.int64()), pa.array([squeeze.compress(total.tobytes())], pa.binary())],
+                ["part", "z"])
 
-    got = [np.frombuffer(x, np.uint64) for x in
-           chosen.select("text").mapInArrow(run, "x binary").toArrow().column("x").to_pylist()]
+        for batch in batches:
+            for part, z in zip(*(batch.column(c).to_pylist() for c in ("part", "z")), strict=True):
+                x = np.frombuffer(expand.decompress(z), "<u8")
+                if part != now:
+                    if now is not None:
+                        yield done()
+                    now, total = part, x.copy()
+                else:
+                    total += x
+        if now is not None:
+            yield done()
+
+    got = (docs.select("text").mapInArrow(count, "part long, z binary")
+           .repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, z binary")
+           .orderBy("part").toArrow().column("z").to_pylist())
     if not got:
-        return np.zeros(0, np.uint64)
-    h, n = np.unique(np.concatenate(got), return_counts=True)
-    return h[n > max(3, share * len(got))]
+        return np.zeros(CELLS, bool)
+    expand = zstandard.ZstdDecompressor()
+    (n,), *total = (np.frombuffer(expand.decompress(z), "<u8") for z in got)
+    total = np.concatenate(total)
+    return total > max(3, share * float(n), 8 * total.mean())
 
 
 def _needed(n: np.ndarray | int, m: np.ndarray | int, percent: int = PERCENT):
@@ -154,9 +195,7 @@ def _heads(docs: DataFrame, buckets: int) -> DataFrame:
                     n = len(x)
                     size = n - (-(-PERCENT * n // 100)) + 1
                     order = x >> np.uint64(1)
-                    if len(often):
-                        spot = np.minimum(np.searchsorted(often, x), len(often) - 1)
-                        order = order | np.where(often[spot] == x, top, np.uint64(0))
+                    order = order | np.where(often[cells(x)], top, np.uint64(0))
                     head = np.argpartition(order, size - 1)[:size] if size < n else np.arange(n)
                     tokens.append(x[head])
                     owners.append(np.full(size, s, dtype=np.int64))

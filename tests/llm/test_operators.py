@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SCHEMA
 from pyspark.sql import functions as F
@@ -196,6 +197,20 @@ def test_near_duplicates_odd_tables(docs, repeated, nothing):
     assert {r["doc_id"] for r in stays.collect()} == {c for (c,) in once.values()}
 
 
+def test_frequent_shingles_are_counted_over_all_documents(spark):
+    from fxledger.llm.shipping import ship
+
+    ids = ship(spark).range(12_000).select(F.col("id").alias("doc_id"))
+    late = ids.orderBy(F.xxhash64("doc_id").desc()).limit(13)  # no sample by hashed ids has them
+    once = F.concat_ws(" ", *[F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in "vwxyz"])
+    docs = ids.join(F.broadcast(late.withColumn("hot", F.lit("a b c d e"))), "doc_id", "left").select(
+        "doc_id", F.coalesce("hot", once).alias("text")).cache()
+    often = jaccard_join.frequent(docs)
+    hot, = jaccard_join.shingles(pa.array(["a b c d e"]))
+    assert often[jaccard_join.cells(hot)].all() and often.sum() == 1
+    assert not jaccard_join.frequent(docs.limit(0)).any()
+
+
 def test_rtree_prunes_nothing_linked():
     rng = random.Random(6)
     sets = []
