@@ -23,7 +23,7 @@ from fxledger.plans.price_book import Book, book, run_book
 from fxledger.session import ensure_checkpoint_dir, ensure_utc, scratch_path, write_scratch
 from fxledger.sources import fixtures as fx
 from fxledger.sources.export import export_rows
-from fxledger.sources.store import PriceStore, expire
+from fxledger.sources.store import PriceStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Type and currency are attributes of the symbol, so they ride in the key.
@@ -402,12 +402,15 @@ def q_store_roundtrip(spark, sf_dir):
 
 @query
 def q_store_expiry(spark, sf_dir):
-    """Symbols whose last write is older than the maximum age are removed."""
+    """Symbols whose last write is older than the maximum age are removed from
+    the store on disk."""
     ev = event_store(spark, sf_dir)
     bars = clean.dedupe_last(ev.select("ticker", "old_price", "date", "ord"))
     last_write = ev.groupBy("ticker").agg(F.max("ts").cast("timestamp").alias("written_at"))
-    return (expire(bars.join(last_write, "ticker"), P.EXPIRY_NOW, P.EXPIRY_DAYS)
-            .select("ticker", "date", "old_price"))
+    store = PriceStore(spark, scratch_path(spark, "store-expiry"), buckets=P.STORE_BUCKETS)
+    store.save(bars.join(last_write, "ticker"))
+    store.expire(P.EXPIRY_NOW, P.EXPIRY_DAYS)
+    return store.bars().select("ticker", "date", "old_price")
 
 
 @query

@@ -241,6 +241,25 @@ def test_store_upsert_and_expiry_on_disk(spark):
     assert sorted(r.ticker for r in store.bars().select("ticker").distinct().collect()) == ["A"]
 
 
+def test_store_expiry_query_runs_retention_on_disk(spark, monkeypatch, tmp_path):
+    from fxledger.plans.queries import queries
+
+    spark.createDataFrame(  # the driver tables' symbols are all written within the last 20 days
+        [(1, dt.datetime(2024, 1, 5, 9), 1, 1.0), (2, dt.datetime(2024, 1, 5, 9), 2, 2.0),
+         (3, dt.datetime(2024, 1, 28, 9), 2, 3.0), (4, dt.datetime(2024, 1, 20, 18), 3, 4.0)],
+        "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    runs, whole = [], PriceStore.expire
+
+    def expire_(store, *args):
+        before = store.bars().count()
+        runs.append((before, whole(store, *args), store.bars().count()))
+
+    monkeypatch.setattr(PriceStore, "expire", expire_)
+    left = queries()["store_expiry"](spark, str(tmp_path)).collect()
+    assert runs == [(4, 1, 3)]
+    assert sorted((r.ticker, r.old_price) for r in left) == [("U2", 2.0), ("U2", 3.0), ("U3", 4.0)]
+
+
 def test_expire_is_strict(spark):
     bars = spark.createDataFrame([("A", 1.0, d(1), dt.datetime(2024, 1, 1)),
                                   ("B", 1.0, d(1), dt.datetime(2023, 12, 31, 23, 59))],
