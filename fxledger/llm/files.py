@@ -38,3 +38,9 @@ def create(path: str):
 def open_random(path: str):
     where, p = locate(path)
     return where.open_input_file(p)
+
+
+def remove(path: str) -> None:
+    """Delete a folder and what is in it."""
+    where, p = locate(path)
+    where.delete_dir(p)

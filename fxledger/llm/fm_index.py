@@ -10,9 +10,9 @@ removal spans.
 
 A phrase is a window of ``WINDOW`` consecutive words of an item, or the whole
 item if it has fewer words, but some.  The benchmark is read in blocks of at
-most ``BLOCK_WORDS`` words, each broadcast on its own (a proven bound), and a
-document passes through one step for each block, so nothing is shuffled however
-many items there are.
+most ``BLOCK_WORDS`` words, each broadcast on its own (a proven bound) and freed
+before the next, and a document passes through one step for each block, stored
+in between, so nothing is shuffled however many items there are.
 
 Null and empty texts have no words.  Items without words are ignored; repeated
 items count once; an item with a null id is found but not named.  Words are
@@ -22,12 +22,14 @@ compared by 64-bit hashes, of which a phrase needs several in a row.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fxledger.llm import textops as tx
+from fxledger.llm import files, textops as tx
+from fxledger.session import scratch_path
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -261,15 +263,28 @@ _ARROW = pa.struct([("n_words", pa.int64()),
 def find(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS,
          window: int = WINDOW) -> DataFrame:
     """``doc`` (the row) and ``out``: n_words, the hit word ranges, the byte ranges
-    of the removal spans, and the ids of the items found, of every document."""
+    of the removal spans, and the ids of the items found, of every document.  The
+    result of each block but the last is stored, so that only one block's phrases
+    are held at a time."""
     spark = docs.sparkSession
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
                        F.lit(None).cast(FOUND).alias("out"))
     schema = rows.schema
     empty = Phrases(np.array([1], np.uint64), np.array([0]), np.array([window]),
                     np.zeros((0, window), np.int64), [])
-    for p in list(blocks(benchmark, block_words, window)) or [empty]:
-        shared = spark.sparkContext.broadcast(p)
+    shared, stored = None, None
+    for p in chain(blocks(benchmark, block_words, window), [None]):
+        if p is None and shared is not None:
+            break
+        if shared is not None:
+            path = scratch_path(spark, "decontaminated")
+            rows.write.parquet(path)
+            rows = spark.read.schema(schema).parquet(path)
+            shared.destroy()
+            if stored:
+                files.remove(stored)
+            stored = path
+        shared = spark.sparkContext.broadcast(p or empty)
 
         def run(batches, shared=shared):
             for batch in batches:

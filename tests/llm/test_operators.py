@@ -167,6 +167,13 @@ def test_fm_index(spark, docs, rows, block_words):
     assert got == brute.contaminated(rows, items(rows))
 
 
+def test_fm_index_holds_one_block_of_phrases(spark, docs, rows):
+    bench = spark.createDataFrame(items(rows), "item_id long, text string")
+    assert len(list(fm_index.blocks(bench, 60))) > 2
+    found = fm_index.find(docs, bench, block_words=60)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_fm_index_odd_tables(spark, docs, nothing, repeated):
     bench = spark.createDataFrame([(1, "one")], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
