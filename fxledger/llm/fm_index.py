@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fxledger.llm import files, textops as tx
+from fxledger.llm.memory import freed
 from fxledger.session import scratch_path
 
 WINDOW = 10
@@ -296,7 +297,7 @@ def find(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS,
                                     shared.value)
                     yield pa.RecordBatch.from_arrays([doc, pa.array(found, _ARROW)], ["doc", "out"])
 
-        rows = rows.mapInArrow(run, schema)
+        rows = rows.mapInArrow(freed(run), schema)
     return rows
 
 

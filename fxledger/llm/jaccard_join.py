@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fxledger.llm import repeats, textops as tx
 from fxledger.llm.components import components
+from fxledger.llm.memory import freed
 from fxledger.session import write_scratch
 
 SHINGLE = 5
@@ -109,7 +110,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                      pa.array(vec, pa.binary())], ["key", "s", "n", "vec"])
 
     return (docs.select(repeats.key(docs).alias("key"), "text")
-            .mapInArrow(run, "key long, s long, n long, vec binary"))
+            .mapInArrow(freed(run), "key long, s long, n long, vec binary"))
 
 
 def cells(x: np.ndarray) -> np.ndarray:
@@ -159,8 +160,8 @@ def frequent(docs: DataFrame, share: float = SHARE) -> np.ndarray:
         if now is not None:
             yield done()
 
-    got = (docs.select("text").mapInArrow(count, "part long, z binary")
-           .repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, z binary")
+    got = (docs.select("text").mapInArrow(freed(count), "part long, z binary")
+           .repartition("part").sortWithinPartitions("part").mapInArrow(freed(add), "part long, z binary")
            .orderBy("part").toArrow().column("z").to_pylist())
     if not got:
         return np.zeros(CELLS, bool)
@@ -213,7 +214,7 @@ def _heads(docs: DataFrame, buckets: int) -> DataFrame:
                      pa.array([o[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
                     ["bucket", "t", "o"])
 
-    return docs.select("text").mapInArrow(run, "bucket long, t binary, o binary")
+    return docs.select("text").mapInArrow(freed(run), "bucket long, t binary, o binary")
 
 
 def _led(heads: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def _led(heads: DataFrame) -> DataFrame:
             yield out
 
     return (heads.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(run, "leader long, s long, n long")
+            .mapInArrow(freed(run), "leader long, s long, n long")
             .groupBy("leader", "s").agg(F.sum("n").alias("n")))
 
 
@@ -379,7 +380,7 @@ def _search(rows: DataFrame) -> DataFrame:
             yield _edges(out)
 
     return (rows.select("block", "rep", "s", "label", "z").repartition("block")
-            .sortWithinPartitions("block", "rep").mapInArrow(run, "a long, b long"))
+            .sortWithinPartitions("block", "rep").mapInArrow(freed(run), "a long, b long"))
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -435,7 +436,7 @@ def _sift(rows: DataFrame, vectors: DataFrame) -> DataFrame:
 
     return (rows.select("block", "rep", "s", "label").join(vectors, F.col("s") == F.col("set")).drop("set")
             .repartition("block").sortWithinPartitions("block", "rep")
-            .mapInArrow(run, "block long, rep long, s long, label long"))
+            .mapInArrow(freed(run), "block long, rep long, s long, label long"))
 
 
 def _kept(rows: list[tuple]) -> pa.RecordBatch:

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fxledger.llm import tokens
+from fxledger.llm.memory import freed
 
 LENGTH = 2048
 BLOCK = 384
@@ -167,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
         if ready:
             yield _rows(ready)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE)
+    return docs.select("doc_id", "text").mapInArrow(freed(run), PIECE)
 
 
 _SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens",

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fxledger.llm import files, tokens
+from fxledger.llm.memory import freed
 from fxledger.session import write_scratch
 
 LANES = 1024
@@ -154,10 +155,10 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                      pa.array([pack.compress(w.tobytes()) for w in narrow], pa.binary())],
                     ["pos", "doc_id", "n", "width", "z"])
 
-    dealt = (docs.select("doc_id", "text").mapInArrow(small, "doc_id long, z binary")
+    dealt = (docs.select("doc_id", "text").mapInArrow(freed(small), "doc_id long, z binary")
              .repartitionByRange("doc_id").sortWithinPartitions("doc_id")
              .select(F.monotonically_increasing_id().alias("pos"), "doc_id", "z"))
-    return write_scratch(dealt.mapInArrow(encoded, "pos long, doc_id long, n long, width int, z binary"),
+    return write_scratch(dealt.mapInArrow(freed(encoded), "pos long, doc_id long, n long, width int, z binary"),
                          "token-ids")
 
 
@@ -178,7 +179,7 @@ def count(ids: DataFrame, vocabulary: int) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = (ids.select("width", "z").mapInArrow(run, "id long, n long")
+    rows = (ids.select("width", "z").mapInArrow(freed(run), "id long, n long")
             .groupBy("id").agg(F.sum("n").alias("n")).toArrow())
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
@@ -245,7 +246,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
         if out is not None:
             yield finish()
 
-    return write_scratch(ids.select("pos", "doc_id", "width", "z").mapInArrow(run, MANIFEST),
+    return write_scratch(ids.select("pos", "doc_id", "width", "z").mapInArrow(freed(run), MANIFEST),
                          "rans-manifest")
 
 
@@ -304,6 +305,6 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
     tasks = max(spark.sparkContext.defaultParallelism,
                 int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (listed.select("file", "bytes", "base").repartition(tasks)
-            .mapInArrow(blocks, "file string, place long, length long, base long")
+            .mapInArrow(freed(blocks), "file string, place long, length long, base long")
             .repartition(tasks)
-            .mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary"))
+            .mapInArrow(freed(run), "doc_id long, start long, n_tokens long, ids binary"))

@@ -31,6 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fxledger.llm import anchors, textops as tx
+from fxledger.llm.memory import freed
 from fxledger.session import write_scratch
 
 LEAST = -(1 << 63)
@@ -71,7 +72,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
             z = [pack.compress(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(z, pa.binary())], ["key", "z"])
 
-    return docs.select(key(docs).alias("key"), "text").mapInArrow(run, "key long, z binary")
+    return docs.select(key(docs).alias("key"), "text").mapInArrow(freed(run), "key long, z binary")
 
 
 def texts(batch: pa.RecordBatch) -> pa.Array:
@@ -94,7 +95,7 @@ def segment_rows(docs: DataFrame, unit: Unit) -> DataFrame:
                      pa.array(n.astype(np.int32))], ["key", "h", "c", "n"])
 
     return (docs.select(key(docs).alias("key"), "text")
-            .mapInArrow(run, "key long, h long, c long, n int"))
+            .mapInArrow(freed(run), "key long, h long, c long, n int"))
 
 
 Matcher = Callable[[Iterator[tuple[int, int, bytes]]], Iterator[tuple[int, list[tuple[int, int]]]]]
@@ -125,7 +126,7 @@ def verdicts(docs: DataFrame, unit: Unit, matcher: Matcher, first_stays: bool,
 
     cuts = write_scratch(
         squeezed(docs).join(wanted, F.col("key") == F.col("owner")).select("owner", "cs", "z")
-        .mapInArrow(cut, "h long, c long, owner long, place long, i long, text binary"), "cuts")
+        .mapInArrow(freed(cut), "h long, c long, owner long, place long, i long, text binary"), "cuts")
     shards = cuts.where("i < 0").repartition("h").sortWithinPartitions("h", "owner", "place")
     single = cuts.where("i >= 0").select("h", "c", "owner", "place", "i").dropDuplicates(["h", "c", "place"])
     one = F.struct("owner", "place")
@@ -157,7 +158,7 @@ def verdicts(docs: DataFrame, unit: Unit, matcher: Matcher, first_stays: bool,
         if out:
             yield _matched(out)
 
-    matched = shards.select("h", "c", "text").mapInArrow(match, "c long, ranges " + RANGES).union(split)
+    matched = shards.select("h", "c", "text").mapInArrow(freed(match), "c long, ranges " + RANGES).union(split)
     judged = content.select("c", "owner", "t").join(
         matched.withColumnRenamed("c", "mc"), F.col("c") == F.col("mc"), "left").drop("mc")
     if first_stays:

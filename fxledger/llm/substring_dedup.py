@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fxledger.llm import repeats, textops as tx
+from fxledger.llm.memory import freed
 
 WINDOW = 20
 ANCHOR = 6
@@ -148,7 +149,7 @@ def digest(found: DataFrame) -> DataFrame:
                     [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s)],
                     ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return found.mapInArrow(freed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -172,5 +173,5 @@ def clean(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc, out], ["doc", "out"])
 
     kind = rows.select("doc", F.lit(None).cast(f"struct<bytes:{repeats.RANGES}>").alias("out")).schema
-    return tx.cut_spans(rows.mapInArrow(run, kind), docs.columns)
+    return tx.cut_spans(rows.mapInArrow(freed(run), kind), docs.columns)
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fxledger.llm import repeats, textops as tx
+from fxledger.llm.memory import freed
 
 WINDOW = 400
 ANCHOR = 32
@@ -274,5 +275,5 @@ def digest(found: DataFrame) -> DataFrame:
                     [b.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, r, s)], pa.array(k)],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, "
+    return found.mapInArrow(freed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, "
                                  "kept_sha256 string")

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from fxledger.llm.memory import freed
+
 SLAB_BYTES = 1 << 20
 U64 = np.uint64
 #: Bytes 0x09-0x0D and 0x20 separate words.
@@ -173,7 +175,7 @@ def rowwise(docs: DataFrame, fn: Callable[[pa.Array], list], fields: str,
                          for x in fn(part.column(1))], names)], ["doc", "out"])
 
     assert spark is not None
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(freed(run), schema)
 
 
 def cut_spans(found: DataFrame, columns: list[str]) -> DataFrame:
@@ -197,7 +199,7 @@ def cut_spans(found: DataFrame, columns: list[str]) -> DataFrame:
                      zip(text, spans, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in columns], columns)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(freed(run), schema)
 
 
 def without(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:

@@ -2,8 +2,9 @@
 
 With a byte-level pre-tokenizer every single space before a non-space character
 starts a new pre-token, so a text can be cut there and the ids of its pieces
-joined; the same piece always has the same ids.  A worker keeps the ids of the
-pieces it has met (a bounded dictionary).  Tokenizers of another make, and texts
+joined; the same piece always has the same ids.  A task keeps the ids of the
+pieces it has met (about 200 bytes each, at most ``CACHE_PIECES``) and forgets them
+when it ends.  Tokenizers of another make, and texts
 that hold an added token such as an end mark, are encoded whole.
 """
 
@@ -18,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 1_200_000
+from fxledger.llm.memory import at_task_end
+
+CACHE_PIECES = 600_000
 PUNCTUATION = string.punctuation
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)")
@@ -53,8 +56,9 @@ class _Pieces(dict):
         return self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
+        if len(self) + len(self._bare()) >= CACHE_PIECES:
             self.clear()
+            self._bare().clear()
         core = piece.rstrip(PUNCTUATION)
         if core != piece and core.isalpha():  # letters, then other signs: two pre-tokens
             got = self[core] + self._bare()[piece[len(core):]]
@@ -90,6 +94,10 @@ class Encoder:
         self.bare = _Pieces(self.tokenizer, "", None)
         self.spaced = _Pieces(self.tokenizer, " ", self.bare)
 
+    def forget(self) -> None:
+        self.spaced.clear()
+        self.bare.clear()
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -106,7 +114,9 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process; ``path`` must name a file that every
     executor has (vocabulary files are installed, not shipped)."""
-    return Encoder(path)
+    found = Encoder(path)
+    at_task_end(found.forget)
+    return found
 
 
 def encode_column(text: pa.Array, path: str, end_id: int) -> list[bytes]:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fxledger.llm import textops as tx
+from fxledger.llm.memory import freed
 
 BUCKETS = 1 << 18
 FACTORS = 4
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column,
                                              ["doc_id", "y", "ids"])
 
     got = (text.select("doc_id", "y", "text")
-           .mapInArrow(hashed, "doc_id long, y double, ids array<int>").toArrow())
+           .mapInArrow(freed(hashed), "doc_id long, y double, ids array<int>").toArrow())
     got = got.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     sets = got.column("ids").combine_chunks()
     if isinstance(sets, pa.ChunkedArray):

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fxledger.llm import files
+from fxledger.llm.memory import freed
 from fxledger.session import write_scratch
 
 MIN_DUPLICATE = 100
@@ -113,7 +114,7 @@ def write(pages: DataFrame, path: str, level: int = 6,
                 "starts": pa.array([starts], pa.list_(pa.int64()))})
 
     rows = classify(pages, min_duplicate).select("page_id", "url", "payload", "digest", "refers_to")
-    return write_scratch(rows.mapInArrow(run, MANIFEST), "warc-manifest")
+    return write_scratch(rows.mapInArrow(freed(run), MANIFEST), "warc-manifest")
 
 
 def _window(f, size: int, at: int, n: int) -> bytes:
@@ -234,7 +235,7 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = T
                     raise ValueError(f"{found} records instead of {row['records']} start in "
                                      f"{row['file']} from {row['start']} on")
 
-    return ranges.repartition(tasks).mapInArrow(run, RECORD)
+    return ranges.repartition(tasks).mapInArrow(freed(run), RECORD)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
