@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.llm import (conversations, files, fm_index, jaccard_join, license_scan, oracle, packing, quality, rans,
+from fxledger.llm import (conversations, files, fingerprints, fm_index, jaccard_join, license_scan, oracle, packing, quality, rans,
                           substring_dedup, suffix_dedup, toxicity, warc)
 from fxledger.llm.shipping import ship
 
@@ -77,6 +77,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.spans(table(spark, sf_dir, "documents")))
 
 
+def op12_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.next_text(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversations.damage(table(spark, sf_dir, "conversations"))
     return conversations.digest(conversations.repair(rows))
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rans_ids": op8_rans_ids,
         "op9_warc_roundtrip": op9_warc_roundtrip,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op12_scaled_fingerprints": op12_scaled_fingerprints,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
