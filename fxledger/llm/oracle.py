@@ -157,3 +157,32 @@ select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as
        sha256(coalesce(t, '')) as kept_sha256
 from d left join kept on kept.doc_id = d.doc_id
 """
+
+
+LEXICAL = rf"""
+with qt as (
+  select item_id, t, count(*) as c from (
+    select item_id, unnest(regexp_extract_all(translate(text, {_AZ}), '{_PLAIN}')) as t
+    from benchmark where text is not null) group by item_id, t),
+d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_PLAIN}') as w from documents),
+tot as (
+  select count(*) filter (len(w) > 0) as n_docs, sum(len(w))::bigint as n_terms from d),
+tf as (
+  select doc_id, t, count(*) as tf from (select doc_id, unnest(w) as t from d)
+  where t in (select t from qt) group by doc_id, t),
+weight as (
+  select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w
+  from (select t, count(*) as df from tf group by t), tot),
+len as (
+  select doc_id, 100 - 75 + ((75 * len(w)::bigint * n_docs) // n_terms) as m from d, tot where len(w) > 0),
+score as (
+  select item_id, tf.doc_id,
+         sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from tf join len on len.doc_id = tf.doc_id join weight on weight.t = tf.t join qt on qt.t = tf.t
+  group by item_id, tf.doc_id),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank
+  from score where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""

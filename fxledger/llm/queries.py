@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fxledger.llm import (conversations, files, fingerprints, fm_index, jaccard_join, license_scan, oracle, packing, quality, rans,
-                          substring_dedup, suffix_dedup, toxicity, warc)
+from fxledger.llm import (conversations, files, fingerprints, fm_index, jaccard_join, lexical, license_scan,
+                          oracle, packing, quality, rans, substring_dedup, suffix_dedup, toxicity, warc)
 from fxledger.llm.shipping import ship
 
 
@@ -77,6 +77,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.spans(table(spark, sf_dir, "documents")))
 
 
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "item_id", "rank", "doc_id", "score")
+
+
 def op12_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.next_text(table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_rans_ids": op8_rans_ids,
         "op9_warc_roundtrip": op9_warc_roundtrip,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_ball_tree_search": op11_ball_tree_search,
         "op12_scaled_fingerprints": op12_scaled_fingerprints,
         "op13_conversation_repair": op13_conversation_repair,
     }
@@ -109,5 +115,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate_fm": oracle.DECONTAMINATE,
         "op5_quality_rules": oracle.QUALITY,
         "op9_warc_roundtrip": oracle.WARC,
+        "op11_ball_tree_search": oracle.LEXICAL,
         "op7_license_scan": oracle.licenses(license_scan.TEMPLATES, license_scan.PERCENT),
     }
