@@ -81,3 +81,31 @@ def last_complete(df: DataFrame, keys: Sequence[str] = KEY, order: str = "ord")
     """Drop incomplete bars, then keep the last arrival per key: a bar without a
     price never hides an earlier good one of its day."""
     return dedupe_last(drop_incomplete(df), keys, order)
+
+
+# Why a raw bar is left out, in the order in which the reasons are looked for.
+NO_SYMBOL, BAD_DAY, NO_PRICE, BAD_PRICE = "no symbol", "bad day", "no price", "bad price"
+
+
+def tag_bars(raw: DataFrame, ticker: str = "ticker", price: str = "old_price", when: str = "date",
+             keep: Sequence[str] = ()) -> DataFrame:
+    """Raw bars -> ``(ticker, old_price, date, *keep, reason)``, coerced in one pass.
+
+    ``reason`` is NULL for a usable bar; else it names what is wrong: no symbol, a day
+    that is missing or cannot be read, no price (missing, blank or NaN), or a
+    price that is no number.
+    """
+    symbol, number, day = F.col(ticker).cast("string"), coerce_price(raw, price), coerce_when(raw, when)
+    said = F.lower(F.trim(F.col(price).cast("string")))
+    reason = (F.when(symbol.isNull() | (F.trim(symbol) == ""), NO_SYMBOL)
+               .when(day.isNull(), BAD_DAY)
+               .when(said.isNull() | said.isin("", "nan"), NO_PRICE)
+               .when(number.isNull(), BAD_PRICE))
+    return raw.select(symbol.alias("ticker"), number.alias("old_price"), day.alias("date"), *keep,
+                      reason.alias("reason"))
+
+
+def split_bars(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable bars, rejected bars with their reason) of tagged ones."""
+    good = F.col("reason").isNull()
+    return tagged.where(good).drop("reason"), tagged.where(~good)

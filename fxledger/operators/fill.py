@@ -40,14 +40,16 @@ def fill_summary(filled: DataFrame, marker: str = PAIR_SUFFIX) -> DataFrame:
                  F.count_if("filled").alias("n_filled")))
 
 
-def provisional_quotes(bars: DataFrame, instruments: DataFrame,
-                       as_of: dt.date | str) -> DataFrame:
+def provisional_quotes(bars: DataFrame, instruments: DataFrame, as_of: dt.date | str,
+                       last: DataFrame | None = None) -> DataFrame:
     """(ticker, old_price, date): a bar at ``as_of`` with the instrument's bid
     for each symbol whose last bar is before ``as_of`` and whose bid is a
     number > 0.  The last day per symbol is an aggregate (partial, one row
-    per symbol), joined to the instrument bids."""
+    per symbol), joined to the instrument bids; ``last(ticker, last_date)``, if
+    given, is taken instead of the bars."""
     day = F.lit(as_of).cast("date")
-    last = bars.groupBy("ticker").agg(F.max("date").alias("_last"))
+    last = (bars.groupBy("ticker").agg(F.max("date").alias("_last")) if last is None
+            else last.select("ticker", F.col("last_date").alias("_last")))
     bid = F.col("bid")
     return (last.join(instruments.select("ticker", "bid"), "ticker")
             .where((F.col("_last") < day) & is_number(bid) & (bid > 0))

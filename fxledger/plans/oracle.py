@@ -390,15 +390,14 @@ from d_px group by ticker""",
         "store_status": with_views(V_INST, V_REQ, REQ, TEXT_PRICES, f"""raw as (
   select 'S' || cast(l_suppkey as varchar) as ticker, {COERCED} as p,
          cast(l_shipdate as date) as date from t)""", """st as (
-  select ticker, count(*) as n_rows,
-         count(*) filter (where date is not null and p is not null) as n_usable,
-         min(date) filter (where date is not null and p is not null) as first_date,
-         max(date) filter (where date is not null and p is not null) as last_date
-  from raw group by ticker)""") + """
+  select ticker, count(distinct date) as n_days, min(date) as first_date, max(date) as last_date,
+         bool_or(strftime(date, '%Y-%m') = '2001-11') as lost
+  from raw where date is not null and p is not null group by ticker)""") + """
 select r.ticker,
-       case when s.n_rows is null then 'not_found' when s.n_usable = 0 then 'empty'
-            else 'loaded' end as status,
-       s.first_date, s.last_date, coalesce(s.n_usable, 0) as n_days
+       case when s.ticker is null then 'not_found' when s.lost then 'empty' else 'loaded' end as status,
+       case when not s.lost then s.first_date end as first_date,
+       case when not s.lost then s.last_date end as last_date,
+       case when not s.lost then s.n_days else 0 end as n_days
 from req r left join st s on r.ticker = s.ticker""",
         "history_summary": with_views(V_PX, D_PX) + """
 select count(*) as n_rows, count(distinct ticker) as n_symbols from d_px""",
@@ -441,10 +440,43 @@ group by ticker, date""",
             "group by ticker, date)",
             "w as (select ticker, max(ts) as last_write from st group by ticker)") + """
 select d.ticker, d.date, d.old_price from d join w on d.ticker = w.ticker
-where w.last_write >= timestamp '2024-02-09 18:00:00' - interval 20 day""",
+where w.last_write >= timestamp '2024-02-09 18:00:00' - interval 10 day""",
         "export_rows": convert_query("""
-select ticker, price, strftime(date, '%d/%m/%Y') as date from conv
-where date >= date '2001-06-01'""", extra=(CONV,)),
+select row_number() over (order by date desc, ticker) as pos, ticker, price,
+       strftime(date, '%d/%m/%Y') as date
+from conv where date >= date '2001-06-01'""", extra=(CONV,)),
+        "convert_sorted": convert_query("""
+select row_number() over (order by date, ticker) as pos, ticker, price, date from conv""", extra=(CONV,)),
+        "export_csv": convert_query("""
+select row_number() over (order by date desc, ticker) as pos, ticker, price, date,
+       cast(null as varchar) as corrupt
+from conv where date >= date '2001-06-01'""", extra=(CONV,)),
+        "bar_rejects": with_views(TEXT_PRICES, f"""raw as (
+  select l_orderkey, l_linenumber, l_partkey,
+         case when not (l_linenumber = 5 and l_orderkey % 2 = 1)
+              then 'S' || cast(l_suppkey as varchar) end as ticker,
+         case when l_linenumber = 4 and l_orderkey % 2 = 1 then null
+              else cast(l_shipdate as date) end as date,
+         case when l_linenumber = 3 and l_orderkey % 2 = 1 then 'NaN' else price_text end as said
+  from t)""") + """
+select ticker, try_cast(nullif(said, 'NaN') as double) as old_price, date, l_orderkey, l_linenumber,
+       l_partkey, reason
+from (select *, case when ticker is null then 'no symbol' when date is null then 'bad day'
+                     when said is null or trim(said) = '' or lower(trim(said)) = 'nan' then 'no price'
+                     when try_cast(said as double) is null then 'bad price' end as reason
+      from raw)
+where reason is not null""",
+        "store_gaps": with_views(
+            EV,
+            f"""sd as (select distinct ticker, date from ev
+        where {COMPLETE} and ((date between date '2024-01-06' and date '2024-01-18' and ord % 2 = 1)
+          or (date between date '2024-01-18' and date '2024-01-20' and ord % 2 = 0)))""",
+            "cov as (select ticker, min(date) as f, max(date) as l, count(*) as n_days from sd group by ticker)",
+            """rng as (select t.ticker, date '2024-01-01' as s, date '2024-01-30' as e, c.f, c.l
+        from (select distinct ticker from ev) t left join cov c on t.ticker = c.ticker)""",
+            gaps("rng", "2024-01-21")) + """
+select g.ticker, g.gap_start, g.gap_end, c.n_days, case when c.ticker is not null then true end as as_recounted
+from gaps g left join cov c on g.ticker = c.ticker""",
         "price_book": PRICE_BOOK,
         "book_unresolved": BOOK_UNRESOLVED,
         "book_rejects": with_views(V_FX, V_INST, V_REQ, N_INST, N_FX_INST, N_ALL, REQ) + """

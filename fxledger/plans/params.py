@@ -26,11 +26,14 @@ FRESH_FACTOR = 1.01
 
 # Retention
 EXPIRY_NOW = dt.datetime(2024, 2, 9, 18, 0, 0)
-EXPIRY_DAYS = 20
+EXPIRY_DAYS = 10  # the cutoff falls between the last writes: some symbols go, some stay
 
-STORE_BUCKETS = 8
+STORE_BUCKETS = 2  # times the months of the bars
 
 # Price book
 BOOK_AS_OF = dt.date(2001, 11, 1)
 BOOK_YEARS = 0.5
 BOOK_STORED_TO = dt.date(2001, 6, 30)
+
+# The store whose files of one month are damaged: some symbols have bars in it
+DAMAGED_MONTH = "2001-11"

@@ -42,6 +42,7 @@ class Book:
     rows: DataFrame         # ticker, price, date text
     unresolved: DataFrame   # ticker, date, currency, fx_ticker of rows without a rate
     rejects: DataFrame      # pos, ticker, reason of requests that were dropped
+    bar_rejects: DataFrame | None = None  # landing bars left out, with the reason
 
 
 def self_check(spark: SparkSession, requests: DataFrame, as_of: dt.date, years: float) -> None:
@@ -93,16 +94,30 @@ def gather_history(store: DataFrame, landing: DataFrame | None, targets: DataFra
     return hist.upsert(stored, fetched)
 
 
+def landing_bars(landing: DataFrame, names: DataFrame, window: tuple[dt.date, dt.date]) -> DataFrame:
+    """Landing bars of a window, and those without a day, tagged with the reason why a
+    bad one is left out.  Good bars of other symbols are dropped here; a bad one without
+    a symbol stays."""
+    start, end = window
+    day = F.col("date")
+    near = landing.where(((day >= F.lit(start)) & (day <= F.lit(end))) | day.isNull())
+    tagged = clean.tag_bars(near, keep=[c for c in ("ord",) if c in landing.columns])
+    asked = names.select(F.col("ticker").alias("_asked"))
+    return (tagged.join(asked, F.col("ticker") == F.col("_asked"), "left")
+            .where(F.col("_asked").isNotNull() | (F.col("reason") == clean.NO_SYMBOL)).drop("_asked"))
+
+
 def _finish(bars: DataFrame, full: DataFrame, as_of: dt.date, start: dt.date, home: str,
             minor_units: Mapping[str, float] | None, on_missing: str,
-            name: str) -> convert.Conversion:
+            name: str, last: DataFrame | None = None) -> convert.Conversion:
     """Fill, quote, cut, enrich and prepare the conversion of gathered bars.
 
     The last day of a symbol is taken before the cut; securities before
     ``start`` are never exported, so they are cut before the history is
-    written, while FX rows keep their past for the as-of.
+    written, while FX rows keep their past for the as-of.  ``last`` names the last day
+    of each symbol where the bars at hand are cut already.
     """
-    quotes = fill.provisional_quotes(bars, full, as_of)
+    quotes = fill.provisional_quotes(bars, full, as_of, last)
     filled = fill.calendar_fill(bars).drop("filled")
     filled = filled.where(is_fx_symbol("ticker") | (F.col("date") >= F.lit(start)))
     # One row per symbol-day from here on, so the arrival order is immaterial.
@@ -156,8 +171,11 @@ def book(requests: DataFrame, instruments: DataFrame, store: DataFrame, as_of: d
     if bars.isEmpty():
         raise EmptyBook("no bar of any requested symbol")
     conv = _finish(bars, full, as_of, start, home, minor_units, on_missing, "price-book-history")
+    bad = None
+    if landing is not None:
+        bad = clean.split_bars(landing_bars(landing, targets, (start, end)))[1]
     return Book(export_rows(conv.converted, start, sort=sort), _unresolved(conv),
-                instr.rejects(requests, instruments))
+                instr.rejects(requests, instruments), bad)
 
 
 def price_book(*args, **kwargs) -> DataFrame:
@@ -177,9 +195,12 @@ def run_book(requests: DataFrame, instruments: DataFrame, store: PriceStore,
     Run the startup self-check (``check``), validate the requests, find the
     day ranges the store lacks, fetch them from ``landing`` and upsert them
     into ``store`` (only touched partitions are rewritten; nothing is written
-    when nothing was fetched), then fill, quote, convert, write the sorted
+    when nothing was fetched).  The gaps come from the store's kept coverage, so the
+    history is not scanned for them; of securities only the months of the window are
+    read again, of FX pairs all.  Landing bars are read once: the fetched ones and the
+    bad ones, with their reason, are written together.  Then fill, quote, convert, write the sorted
     headerless CSV to ``out_path``, the quarantine and the rejects beside it
-    (``-unresolved`` and ``-rejects``, Parquet), and apply the retention.  See
+    (``-unresolved``, ``-rejects`` and ``-bar-rejects``, Parquet), and apply the retention.  See
     ``book`` for ``on_missing`` and ``EmptyBook``; a run that stops so writes no
     output and applies no retention.  The rows come from the converted table,
     which is written once to the shared folder and feeds the CSV too.
@@ -191,18 +212,25 @@ def run_book(requests: DataFrame, instruments: DataFrame, store: PriceStore,
     full, small = _instruments(requests, instruments, home, minor_units, max_broadcast_bytes)
     targets = hist.clip_to_listing(full, start, end)
     names = broadcast_if(targets.select("ticker"), small)
-    stored = store.bars().join(names, "ticker", "left_semi")
     ranges = targets.select("ticker", F.col("fetch_start").alias("start"),
                             F.col("fetch_end").alias("end"))
-    gaps = broadcast_if(hist.missing_ranges_table(ranges, hist.coverage(stored), as_of), small)
-    fetched = write_scratch(hist.scan_ranges(hist.scan_range(landing, start, end), gaps,
-                                             "gap_start", "gap_end"), "fetched")
+    gaps = broadcast_if(hist.missing_ranges_table(ranges, store.coverage(), as_of), small).select(
+        F.col("ticker").alias("_t"), "gap_start", "gap_end")
+    near = landing_bars(landing, names, (start, end))
+    met = near.join(gaps, (F.col("ticker") == F.col("_t")) & (F.col("date") >= F.col("gap_start"))
+                    & (F.col("date") <= F.col("gap_end")), "left")
+    seen = write_scratch(met.where(F.col("_t").isNotNull() | F.col("reason").isNotNull())
+                         .select(*near.columns), "fetched")
+    fetched, bad = clean.split_bars(seen)
     if not fetched.isEmpty():
         store.upsert(fetched)
-    bars = store.bars().join(names, "ticker", "left_semi")
-    if bars.isEmpty():
+    pair = is_fx_symbol("ticker")
+    bars = (store.bars(since=start).where(~pair).unionByName(store.bars().where(pair))
+            .join(names, "ticker", "left_semi"))
+    last = store.coverage().join(names, "ticker", "left_semi")
+    if last.isEmpty():
         raise EmptyBook("no bar of any requested symbol")
-    conv = _finish(bars, full, as_of, start, home, minor_units, on_missing, "run-book-history")
+    conv = _finish(bars, full, as_of, start, home, minor_units, on_missing, "run-book-history", last)
     converted = write_scratch(conv.converted, "run-book-converted")
     if not write_csv(export_rows(converted, start, sort=True), out_path):
         raise EmptyBook("nothing to export from the start day on")
@@ -210,5 +238,6 @@ def run_book(requests: DataFrame, instruments: DataFrame, store: PriceStore,
     rejected = instr.rejects(requests, instruments)
     unresolved.write.mode("overwrite").parquet(f"{out_path}-unresolved")
     rejected.write.mode("overwrite").parquet(f"{out_path}-rejects")
+    bad.write.mode("overwrite").parquet(f"{out_path}-bar-rejects")
     store.expire(now, max_age_days)
-    return Book(export_rows(converted, start), unresolved, rejected)
+    return Book(export_rows(converted, start), unresolved, rejected, bad)

@@ -18,11 +18,12 @@ from fxledger.functions.dates import (
 from fxledger.functions.numeric import coerce_numeric
 from fxledger.operators import clean, convert, fill, history, instruments
 from fxledger.operators.joins import bounded_broadcast
+from fxledger.operators.position import with_position
 from fxledger.plans import params as P
 from fxledger.plans.price_book import Book, book, run_book
 from fxledger.session import ensure_checkpoint_dir, ensure_utc, scratch_path, write_scratch
 from fxledger.sources import fixtures as fx
-from fxledger.sources.export import export_rows
+from fxledger.sources.export import export_rows, read_csv, write_csv
 from fxledger.sources.store import PriceStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -339,12 +340,16 @@ def q_store_coverage(spark, sf_dir):
 
 @query
 def q_store_status(spark, sf_dir):
-    """Loaded / empty / not_found for each requested symbol."""
+    """Loaded / empty / not_found for each requested symbol, from a store on disk
+    whose files of one month were overwritten with junk."""
     tickers = instruments.first_requests(fx.requests(spark, sf_dir)).select("ticker")
     raw = fx.text_prices(spark, sf_dir).select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
         F.col("price_text").alias("old_price"), F.col("l_shipdate").alias("date"))
-    return history.store_status(tickers, raw)
+    store = PriceStore(spark, scratch_path(spark, "store-status"), buckets=P.STORE_BUCKETS)
+    store.save(raw)
+    fx.damage_month(store, P.DAMAGED_MONTH)
+    return store.status(tickers)
 
 
 @query
@@ -374,10 +379,35 @@ def q_missing_ranges(spark, sf_dir):
 
 @query
 def q_history_range_scan(spark, sf_dir):
-    """S3: each symbol's bars inside its own inclusive day range."""
+    """S3: each symbol's bars inside its own inclusive day range, from a store on disk;
+    the ranges prune its partitions at run time."""
     ranges = history.clip_to_listing(instrument_table(spark, sf_dir), P.CLIP_START, P.CLIP_END)
-    return history.scan_ranges(store_bars(spark, sf_dir), ranges).select(
-        "ticker", "date", "old_price")
+    store = PriceStore(spark, scratch_path(spark, "range-store"), buckets=P.STORE_BUCKETS)
+    store.save(fx.security_bars(spark, sf_dir))
+    return store.for_ranges(ranges, "fetch_start", "fetch_end").select("ticker", "date", "old_price")
+
+
+@query
+def q_store_gaps(spark, sf_dir):
+    """A2/S4 kept up to date: gaps of a store after a save, an upsert and a retention
+    run, from its kept coverage alone, beside what a recount of the bars gives."""
+    ev = event_store(spark, sf_dir)
+    store = PriceStore(spark, scratch_path(spark, "gap-store"), buckets=P.STORE_BUCKETS)
+    early = ev.where((F.col("date") >= F.lit(P.EVENTS_STORED_FROM)) & (F.col("date") <= F.lit(P.EVENTS_FRESH_FROM)))
+    odd = F.col("ord") % 2 == 1
+    store.save(early.where(odd), written_at=P.EXPIRY_NOW)
+    store.upsert(ev.where((F.col("date") >= F.lit(P.EVENTS_FRESH_FROM))
+                          & (F.col("date") <= F.lit(P.EVENTS_STORED_TO)) & ~odd), written_at=P.EXPIRY_NOW)
+    targets = (ev.select("ticker").distinct()
+               .select("ticker", F.lit(P.EVENTS_FROM).alias("start"), F.lit(P.EVENTS_TO).alias("end")))
+    kept, counted = store.coverage(), history.coverage(store.bars())
+    gaps = history.missing_ranges_table(targets, kept, P.EVENTS_AS_OF)
+    n = counted.select("ticker", F.col("first_date").alias("_f"), F.col("last_date").alias("_l"),
+                       F.col("n_days").alias("_n"))
+    same = ((F.col("first_date") == F.col("_f")) & (F.col("last_date") == F.col("_l"))
+            & (F.col("n_days") == F.col("_n")))
+    checked = kept.join(n, "ticker", "full").select("ticker", "n_days", same.alias("as_recounted"))
+    return gaps.join(checked, "ticker", "left")
 
 
 @query
@@ -393,11 +423,9 @@ def q_upsert_prices(spark, sf_dir):
 @query
 def q_store_roundtrip(spark, sf_dir):
     """Bars written to the store (bucketed Parquet) and read back."""
-    bars = clean.dedupe_last(event_store(spark, sf_dir).select(
-        "ticker", "old_price", "date", "ord"))
     store = PriceStore(spark, scratch_path(spark, "store-roundtrip"), buckets=P.STORE_BUCKETS)
-    store.save(bars, written_at=P.EXPIRY_NOW)
-    return store.bars()
+    store.save(event_store(spark, sf_dir).select("ticker", "old_price", "date", "ord"), written_at=P.EXPIRY_NOW)
+    return store.load()
 
 
 @query
@@ -405,7 +433,7 @@ def q_store_expiry(spark, sf_dir):
     """Symbols whose last write is older than the maximum age are removed from
     the store on disk."""
     ev = event_store(spark, sf_dir)
-    bars = clean.dedupe_last(ev.select("ticker", "old_price", "date", "ord"))
+    bars = ev.select("ticker", "old_price", "date", "ord")
     last_write = ev.groupBy("ticker").agg(F.max("ts").cast("timestamp").alias("written_at"))
     store = PriceStore(spark, scratch_path(spark, "store-expiry"), buckets=P.STORE_BUCKETS)
     store.save(bars.join(last_write, "ticker"))
@@ -415,8 +443,32 @@ def q_store_expiry(spark, sf_dir):
 
 @query
 def q_export_rows(spark, sf_dir):
-    """Converted rows from the start day, day as dd/MM/yyyy."""
-    return export_rows(convert.convert_prices(deduped_raw(spark, sf_dir)), P.EXPORT_START)
+    """Converted rows from the start day, day as dd/MM/yyyy, with their place
+    in the export (newest day first, then by symbol)."""
+    return export_rows(convert.convert_prices(deduped_raw(spark, sf_dir)), P.EXPORT_START, position=True)
+
+
+@query
+def q_convert_sorted(spark, sf_dir):
+    """O2: converted rows with their place by (date, symbol)."""
+    return with_position(convert.convert_prices(deduped_raw(spark, sf_dir)).select("ticker", "price", "date"),
+                         "date", "ticker")
+
+
+@query
+def q_export_csv(spark, sf_dir):
+    """The sorted headerless CSV, written and read back line by line."""
+    path = scratch_path(spark, "export-csv")
+    write_csv(export_rows(convert.convert_prices(deduped_raw(spark, sf_dir)), P.EXPORT_START, sort=True), path)
+    return read_csv(spark, path)
+
+
+@query
+def q_bar_rejects(spark, sf_dir):
+    """Raw text bars that cannot be used, with the reason, in one pass."""
+    tagged = clean.tag_bars(fx.text_bars(spark, sf_dir), "ticker", "price_text", "day_text",
+                            keep=("l_orderkey", "l_linenumber", "l_partkey"))
+    return clean.split_bars(tagged)[1]
 
 
 def _book(spark: SparkSession, sf_dir: str, with_eur: bool = True) -> Book:

@@ -164,3 +164,25 @@ def text_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.col("l_extendedprice").cast("string")))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                      text.alias("price_text"))
+
+
+def text_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as raw text bars with every kind of fault: no symbol, a day that is none,
+    a missing, blank or NaN price, a price that is no number."""
+    t = text_prices(spark, sf_dir)
+    ln, odd = F.col("l_linenumber"), F.col("l_orderkey") % 2 == 1
+    return t.select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.when(~((ln == 5) & odd), F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).alias("ticker"),
+        F.when((ln == 4) & odd, F.lit("2001-13-45")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+        .alias("day_text"),
+        F.when((ln == 3) & odd, F.lit("NaN")).otherwise(F.col("price_text")).alias("price_text"))
+
+
+def damage_month(store, month: str) -> None:
+    """Overwrite every file of a month of a price store with junk."""
+    fs, path = store._fs()
+    for status in fs.globStatus(path(f"{store.root}/bars/version=*/month={month}/bucket=*/part-*")) or ():
+        out = fs.create(status.getPath(), True)
+        out.write(bytearray(b"not a Parquet file"))
+        out.close()

@@ -244,9 +244,9 @@ def test_store_upsert_and_expiry_on_disk(spark):
 def test_store_expiry_query_runs_retention_on_disk(spark, monkeypatch, tmp_path):
     from fxledger.plans.queries import queries
 
-    spark.createDataFrame(  # the driver tables' symbols are all written within the last 20 days
+    spark.createDataFrame(  # the cutoff is 2024-01-30 18:00
         [(1, dt.datetime(2024, 1, 5, 9), 1, 1.0), (2, dt.datetime(2024, 1, 5, 9), 2, 2.0),
-         (3, dt.datetime(2024, 1, 28, 9), 2, 3.0), (4, dt.datetime(2024, 1, 20, 18), 3, 4.0)],
+         (3, dt.datetime(2024, 1, 30, 19), 2, 3.0), (4, dt.datetime(2024, 1, 30, 18), 3, 4.0)],
         "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     runs, whole = [], PriceStore.expire
 
