@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import string
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -49,16 +50,15 @@ class _Pieces(dict):
         self.stand_in = _alphabet()
         self.first = "".join(self.stand_in[b] for b in lead.encode())
 
-    def _ids(self, piece: str) -> list[int]:
-        if piece.isalpha():  # one pre-token: no cut can fall inside letters
-            plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.stand_in)
-            return [t.id for t in self.model.tokenize(self.first + plain)]
-        return self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
-
     def __missing__(self, piece: str) -> bytes:
         if len(self) + len(self._bare()) >= CACHE_PIECES:
             self.clear()
             self._bare().clear()
+        if piece.isalpha():  # one pre-token: no cut can fall inside letters
+            plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.stand_in)
+            ids = [t.id for t in self.model.tokenize(self.first + plain)]
+            got = self[piece] = struct.pack("<%dI" % len(ids), *ids)
+            return got
         core = piece.rstrip(PUNCTUATION)
         if core != piece and core.isalpha():  # letters, then other signs: two pre-tokens
             got = self[core] + self._bare()[piece[len(core):]]
@@ -66,7 +66,8 @@ class _Pieces(dict):
             # a line end between words is a pre-token; such pieces rarely come back
             return self[parts[0]] + self._bare()["\n"] + self._bare()[parts[1]]
         else:
-            got = np.array(self._ids(piece), dtype="<u4").tobytes()
+            ids = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
+            got = struct.pack("<%dI" % len(ids), *ids)
         self[piece] = got
         return got
 
