@@ -128,25 +128,19 @@ def decode_block(raw: bytes, n: int, lanes: int, table: Table) -> np.ndarray:
     return ids
 
 
-def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """pos (the place in ascending order of doc_id), doc_id, n and ids, packed,
-    as a stored table.  Texts move once, compressed, to their range of keys."""
-    def small(batches):
-        pack = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            text = b.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([None if t is None else pack.compress(t) for t in text],
-                                              pa.binary())], ["doc_id", "z"])
+def _tokenise(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
+    """pos (the place in ascending order of doc_id), doc_id, n and ids, packed, as a
+    stored table.  Texts move once, to their range of keys.  Each task adds a row
+    without a place: how often it met each id."""
 
     def encoded(batches):
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        pack = zstandard.ZstdCompressor(level=3)
+        total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                text = pa.array([None if z is None else unpack.decompress(z).decode()
-                                 for z in b.column("z").to_pylist()], pa.string())
-                ids = tokens.encode_column(text, tokenizer, end_id)
+                ids = tokens.encode_column(b.column("text"), tokenizer, end_id)
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=vocabulary)
                 wide = [np.frombuffer(x, "<u4") for x in ids]
                 narrow = [w.astype("<u2") if w.max(initial=0) < 65536 else w for w in wide]
                 yield pa.RecordBatch.from_arrays(
@@ -154,12 +148,16 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                      pa.array([w.itemsize for w in narrow], pa.int32()),
                      pa.array([pack.compress(w.tobytes()) for w in narrow], pa.binary())],
                     ["pos", "doc_id", "n", "width", "z"])
+        if total.any():
+            yield pa.RecordBatch.from_pydict(
+                {"pos": pa.array([None], pa.int64()), "doc_id": pa.array([None], pa.int64()),
+                 "n": [int(total.sum())], "width": pa.array([8], pa.int32()),
+                 "z": pa.array([pack.compress(total.astype("<i8").tobytes())], pa.binary())})
 
-    dealt = (docs.select("doc_id", "text").mapInArrow(freed(small), "doc_id long, z binary")
-             .repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-             .select(F.monotonically_increasing_id().alias("pos"), "doc_id", "z"))
-    return write_scratch(dealt.mapInArrow(freed(encoded), "pos long, doc_id long, n long, width int, z binary"),
-                         "token-ids")
+    dealt = (docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+             .select(F.monotonically_increasing_id().alias("pos"), "doc_id", "text"))
+    return write_scratch(dealt.mapInArrow(
+        freed(encoded), "pos long, doc_id long, n long, width int, z binary"), "token-ids")
 
 
 def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -169,17 +167,18 @@ def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def count(ids: DataFrame, vocabulary: int) -> np.ndarray:
-    """Exact count of every id (each task sends one row for each id it has)."""
+    """Exact count of every id, from the rows that each task of ``_tokenise`` left."""
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for x in _ids(batch):
-                total += np.bincount(x, minlength=vocabulary)
+            for z in batch.column("z").to_pylist():
+                total += np.frombuffer(unpack.decompress(z), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = (ids.select("width", "z").mapInArrow(freed(run), "id long, n long")
+    rows = (ids.where(F.col("pos").isNull()).select("z").mapInArrow(freed(run), "id long, n long")
             .groupBy("id").agg(F.sum("n").alias("n")).toArrow())
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
@@ -189,8 +188,8 @@ def count(ids: DataFrame, vocabulary: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write ``table.freq`` and the files below ``path``; the stored manifest."""
     spark = docs.sparkSession
-    ids = _tokenise(docs, tokenizer, end_id)
     vocabulary = max(tokens.encoder(tokenizer).vocabulary, end_id + 1)
+    ids = _tokenise(docs, tokenizer, end_id, vocabulary)
     table = Table.of(count(ids, vocabulary))
     with files.create(f"{path}/table.freq") as f:
         f.write(table.to_bytes())
@@ -246,7 +245,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
         if out is not None:
             yield finish()
 
-    return write_scratch(ids.select("pos", "doc_id", "width", "z").mapInArrow(freed(run), MANIFEST),
+    placed = ids.where(F.col("pos").isNotNull()).select("pos", "doc_id", "width", "z")
+    return write_scratch(placed.mapInArrow(freed(run), MANIFEST),
                          "rans-manifest")
 
 
