@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -68,8 +69,12 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def to_bytes(sketch: np.ndarray) -> bytes:
+    return sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8:].tobytes()
+
+
 def to_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8:].tobytes().hex()
+    return to_bytes(sketch).hex()
 
 
 def from_text(fingerprint: str) -> np.ndarray:
@@ -121,11 +126,12 @@ def edited(text: str, after: str) -> str:
 
 
 _OUT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-        ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
+        ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()),
         ("near_next", pa.float64())]
-_KIND = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+_KIND = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
          "near_edited double, near_next double")
 _COLUMNS = [n for n, _ in _OUT]
+_TEXTS = ("fingerprint", "edited_fingerprint")
 
 
 def _rows(pairs: list[tuple[int | None, str, str]]) -> list[tuple]:
@@ -137,7 +143,7 @@ def _rows(pairs: list[tuple[int | None, str, str]]) -> list[tuple]:
                           if i + 1 == len(pairs) or not chain[i + 1]]))
     after = [own[i + 1] if i + 1 < len(pairs) and chain[i + 1] else next(rest) for i in range(len(pairs))]
     changed = sketches([t.encode() for t in new])
-    return [(d, len(t), hashlib.sha256(e.encode()).hexdigest(), to_text(a), to_text(c), likeness(a, c),
+    return [(d, len(t), hashlib.sha256(e.encode()).hexdigest(), to_bytes(a), to_bytes(c), likeness(a, c),
              likeness(a, n))
             for (d, t, _), e, a, c, n in zip(pairs, new, own, changed, after, strict=True)]
 
@@ -148,25 +154,39 @@ def _batch(rows: list[tuple], fields: list) -> pa.RecordBatch:
         [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            b = batch.slice(at, 500)
+            packed = [pack.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(packed, pa.binary())],
+                                             ["doc_id", "h", "i", "z"])
+
+
 def next_text(docs: DataFrame, rows: Callable = _rows) -> DataFrame:
     """Per document: its length, its edited text's digest, both fingerprints and
-    their likeness, and its likeness to the next document."""
+    their likeness, and its likeness to the next document.  Texts move compressed, and
+    fingerprints are stored as bytes, to keep the disk of the shuffle small."""
     text = F.coalesce("text", F.lit(""))
-    ordered = (docs.select("doc_id", text.alias("text")).select(
-        "doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("i"))
-        .repartitionByRange("doc_id", "h", "i").sortWithinPartitions("doc_id", "h", "i")
-        .select("doc_id", "text"))
+    ordered = (docs.select("doc_id", F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("i"),
+                           text.alias("text"))
+               .mapInArrow(freed(_small), "doc_id long, h long, i long, z binary")
+               .repartitionByRange("doc_id", "h", "i").sortWithinPartitions("doc_id", "h", "i")
+               .select("doc_id", "z"))
     fields = [*_OUT, ("part", pa.int64()), ("head", pa.bool_()), ("text", pa.string())]
     none = (None,) * (len(_OUT) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
+        unpack = zstandard.ZstdDecompressor()
         last, first, pairs, size = None, True, [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                for d, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                for d, z in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                    t = unpack.decompress(z).decode()
                     if first:
                         yield _batch([(None, *none, part, True, t)], fields)
                         first = False
@@ -199,5 +219,6 @@ def next_text(docs: DataFrame, rows: Callable = _rows) -> DataFrame:
             for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 yield _batch(rows([r]), _OUT)
 
-    return found.where(F.col("part").isNull()).select(*_COLUMNS).unionByName(
+    every = found.where(F.col("part").isNull()).select(*_COLUMNS).unionByName(
         met.mapInArrow(freed(finish), _KIND))
+    return every.select(*[F.lower(F.hex(c)).alias(c) if c in _TEXTS else F.col(c) for c in _COLUMNS])
