@@ -55,6 +55,7 @@ BLOCK = 2000
 CELLS = 1 << 22
 PART = 1 << 18
 SHARE = 1e-3
+HELD_PAIRS = 4 << 20
 LEAST = repeats.LEAST
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -217,43 +218,79 @@ def _heads(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(freed(run), "bucket long, t binary, o binary")
 
 
-def _led(heads: DataFrame) -> DataFrame:
-    """leader, s, n: every set with the leaders of the n shingles it shares."""
-
-    def led(t: list[bytes], o: list[bytes]) -> pa.RecordBatch | None:
-        x = np.frombuffer(b"".join(t), np.uint64)
-        s = np.frombuffer(b"".join(o), np.int64)
-        order = np.lexsort((s, x))
-        x, s = x[order], s[order]
-        new = np.concatenate([[True], x[1:] != x[:-1]])
-        keep = new | np.concatenate([[True], s[1:] != s[:-1]])
-        x, s, new = x[keep], s[keep], new[keep]
-        first = np.flatnonzero(new)
-        size = np.diff(np.concatenate([first, [len(x)]]))
-        leader, many = np.repeat(s[first], size), np.repeat(size > 1, size)
-        leader, s = leader[many], s[many]
-        if not len(s):
-            return None
-        pair, n = np.unique(np.rec.fromarrays([leader, s]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair.f0)),
-                                           pa.array(np.ascontiguousarray(pair.f1)), pa.array(n)],
-                                          ["leader", "s", "n"])
+def _leaders(x: np.ndarray, s: np.ndarray) -> pa.RecordBatch | None:
+    """Rows of ``_led`` for all pairs of some shingles."""
+    order = np.lexsort((s, x))
+    x, s = x[order], s[order]
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    keep = new | np.concatenate([[True], s[1:] != s[:-1]])
+    x, s, new = x[keep], s[keep], new[keep]
+    first = np.flatnonzero(new)
+    size = np.diff(np.concatenate([first, [len(x)]]))
+    leader, many = np.repeat(s[first], size), np.repeat(size > 1, size)
+    leader, s = leader[many], s[many]
+    if not len(s):
+        return None
+    pair, n = np.unique(np.rec.fromarrays([leader, s]), return_counts=True)
+    return _led_batch(np.ascontiguousarray(pair.f0), np.ascontiguousarray(pair.f1), n, None)
+
+
+def _led_batch(leader, s: np.ndarray, n: np.ndarray, shingle) -> pa.RecordBatch:
+    none = pa.nulls(len(s), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [none if leader is None else pa.array(leader), pa.array(s), pa.array(n.astype(np.int64)),
+         none if shingle is None else pa.array(shingle.view(np.int64))], ["leader", "s", "n", "shingle"])
+
+
+def _led(heads: DataFrame, held_pairs: int = HELD_PAIRS) -> DataFrame:
+    """leader, s, n: every set with the leaders of the n shingles it shares.
+
+    A task holds the pairs of one bucket, ``held_pairs`` at most: when there are more,
+    those of its shingles with over a sixteenth of them are let go as they are (now and
+    later), and their leaders are found by aggregation and a join that Spark can split.
+    """
 
     def run(batches):
-        bucket, t, o = None, [], []
+        bucket, x, s, held, hot = None, [], [], 0, np.zeros(0, np.uint64)
+
+        def loose(t: np.ndarray, o: np.ndarray, out: list) -> tuple[np.ndarray, np.ndarray]:
+            mine = np.isin(t, hot)
+            if mine.any():
+                out.append(_led_batch(None, o[mine], np.ones(int(mine.sum())), t[mine]))
+            return t[~mine], o[~mine]
+
+        def close():
+            done = _leaders(np.concatenate(x), np.concatenate(s)) if held else None
+            return [] if done is None else [done]
+
         for batch in batches:
-            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("bucket", "t", "o")), strict=True):
+            for b, t, o in zip(*(batch.column(c).to_pylist() for c in ("bucket", "t", "o")), strict=True):
+                out: list = []
                 if b != bucket:
-                    if t and (out := led(t, o)) is not None:
-                        yield out
-                    bucket, t, o = b, [], []
-                t.append(x)
-                o.append(y)
-        if t and (out := led(t, o)) is not None:
-            yield out
-
-    return (heads.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(freed(run), "leader long, s long, n long")
+                    out += close()
+                    bucket, x, s, held, hot = b, [], [], 0, hot[:0]
+                t, o = np.frombuffer(t, np.uint64), np.frombuffer(o, np.int64)
+                if len(hot):
+                    t, o = loose(t, o, out)
+                x.append(t)
+                s.append(o)
+                held += len(t)
+                if held > held_pairs:
+                    t, o = np.concatenate(x), np.concatenate(s)
+                    of, n = np.unique(t, return_counts=True)
+                    hot = np.union1d(hot, of[n > max(1, held_pairs // 16)])
+                    t, o = loose(t, o, out)
+                    x, s, held = [t], [o], len(t)
+                yield from out
+        yield from close()
+
+    found = write_scratch(heads.repartition("bucket").sortWithinPartitions("bucket")
+                          .mapInArrow(freed(run), "leader long, s long, n long, shingle long"), "led")
+    hot = found.where(F.col("shingle").isNotNull()).select("s", "shingle")
+    lead = (hot.groupBy(F.col("shingle").alias("of")).agg(F.min("s").alias("leader"), F.max("s").alias("other"))
+            .where("leader <> other"))
+    met = hot.join(lead, F.col("shingle") == F.col("of")).select("leader", "s", F.lit(1).cast("long").alias("n"))
+    return (found.where(F.col("shingle").isNull()).select("leader", "s", "n").unionByName(met)
             .groupBy("leader", "s").agg(F.sum("n").alias("n")))
 
 
@@ -467,8 +504,9 @@ def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = write_scratch(_sets(docs), "sets")
+    pairs = rows.agg(F.sum(F.ceil(F.col("n") / 5) + 1)).first()[0] or 0  # of heads, at most
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(pairs // (HELD_PAIRS // 4)) + 1)
     nodes = rows.where("n > 0").groupBy("s").agg(F.min("key").alias("rep"))
     vectors = rows.select(F.col("s").alias("set"), "vec", "key").join(
         nodes.select(F.col("s").alias("of"), "rep"), (F.col("set") == F.col("of"))

@@ -204,6 +204,17 @@ def test_near_duplicates_odd_tables(docs, repeated, nothing):
     assert {r["doc_id"] for r in stays.collect()} == {c for (c,) in once.values()}
 
 
+def test_a_shingle_in_a_third_of_the_rows_is_led_by_aggregation(spark, docs):
+    text = " ".join(f"same{i}" for i in range(20))
+    rows = [(i, f"{text} x{i}") for i in range(300)]
+    rows += [(1000 + i, f"p{i} q{i} r{i} s{i} t{i} u{i}") for i in range(600)]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    heads = jaccard_join._heads(df, 2)
+    whole = sorted(map(tuple, jaccard_join._led(heads).collect()))
+    few = jaccard_join._led(heads, held_pairs=200)
+    assert sorted(map(tuple, few.collect())) == whole and len(whole) > 250
+
+
 def test_frequent_shingles_are_counted_over_all_documents(spark):
     from fxledger.llm.shipping import ship
 
