@@ -496,6 +496,55 @@ def test_toxicity_held_out(spark):
     assert right / (right + wrong) > 0.93
 
 
+def either(n=5000):
+    """Toxic if exactly one of two words is there: no weights of single words fit that."""
+    rng = random.Random(5)
+    out = []
+    for i in range(n):
+        w = rng.choices(["w%d" % k for k in range(300)], k=rng.randint(5, 120))
+        for mark in ("alpha", "beta"):
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = mark
+        out.append((" ".join(w), int(("alpha" in w) != ("beta" in w))))
+    return out
+
+
+def test_interactions_that_no_weights_fit():
+    data = either()
+    ids, off = toxicity.terms(pa.array([t for t, _ in data]))
+    label = np.array([y for _, y in data], float)
+    cut = 4000
+    right = {}
+    for factors in (0, toxicity.FACTORS):
+        m = toxicity.fit(ids[:off[cut]], off[:cut + 1], label[:cut], factors)
+        z = toxicity.margin(m, ids[off[cut]:], off[cut:] - off[cut])
+        right[factors] = float(((z >= 0) == label[cut:]).mean())
+    assert right[0] < 0.6 and right[toxicity.FACTORS] > 0.85
+
+
+def test_margin_equals_the_double_sum():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, rng.normal(size=toxicity.BUCKETS), rng.normal(size=(toxicity.BUCKETS, 4)),
+                         rng.random(toxicity.BUCKETS) < 0.7)
+    sets = [np.unique(rng.integers(0, toxicity.BUCKETS, k)) for k in (0, 1, 2, 17, 90)]
+    got = toxicity.margin(m, np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for x, z in zip(sets, got):
+        x = [i for i in x if m.used[i]]
+        pairs = sum(float(m.factor[a] @ m.factor[b]) for k, a in enumerate(x) for b in x[k + 1:])
+        want = m.bias + sum(m.weight[i] for i in x) + pairs / max(1, len(x)) ** 0.5
+        assert abs(z - want) < 1e-9
+
+
+def test_repeated_documents_teach_once(spark, monkeypatch):
+    from fxledger.llm.shipping import ship
+
+    data = toxic_rows(400)
+    docs = ship(spark).createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    a, b = (toxicity.train(d, labels, ~toxicity.held_out()) for d in (docs, docs.union(docs).union(docs)))
+    assert a.bias == b.bias and (a.weight == b.weight).all()
+
+
 def test_toxicity_odd_tables(spark, docs, nothing, repeated):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     machine = toxicity.train(docs, none, F.lit(True))
