@@ -68,17 +68,18 @@ def phrases(item_ids: list, texts: pa.Array, window: int = WINDOW) -> Phrases |
     runs = []
     for a, _, _, _, _, doc, h in hashed_words(texts):
         for d in np.unique(doc):
-            runs.append((item_ids[a + d], h[doc == d]))
+            ids = item_ids[a + d]
+            runs.append((ids if isinstance(ids, list) else [ids], h[doc == d]))
     if not runs:
         return None
     vocabulary = np.unique(np.concatenate([h for _, h in runs]))
     found: dict[tuple, set] = {}
     pairs = []
-    for item, h in runs:
+    for items, h in runs:
         ids = np.searchsorted(vocabulary, h) + 1
         pairs.append(ids[:-1] * (len(vocabulary) + 1) + ids[1:])
         for i in range(max(1, len(ids) - window + 1)):
-            found.setdefault(tuple(ids[i:i + window].tolist()), set()).add(item)
+            found.setdefault(tuple(ids[i:i + window].tolist()), set()).update(items)
     table = np.zeros((len(found), window), dtype=np.int64)
     for row, key in zip(table, found, strict=True):
         row[window - len(key):] = key
@@ -242,10 +243,11 @@ def _search(text: pa.Array, earlier: list[dict] | None, p: Phrases) -> list[pa.A
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW):
-    """The phrases of one block of items after another.  Items are dealt to
-    blocks by a hash of their text; each block is fetched on its own."""
+    """The phrases of one block of items after another.  Items of one text come
+    once, with their ids gathered; texts are dealt to blocks by a hash, and each block
+    is fetched on its own."""
     b = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(
-        F.col("text").isNotNull())
+        F.col("text").isNotNull()).groupBy("text").agg(F.collect_set("item").alias("item"))
     size = b.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0  # no more words than that
     n = int(size // block_words) + 1
     for k in range(n):
