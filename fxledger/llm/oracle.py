@@ -186,3 +186,106 @@ ranked as (
   from score where score > 0)
 select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
 """
+
+
+# Damage and repair of conversations.  crc32 by its table; the costs behind each
+# (row, state) from the last row up, then the walk that takes the cheapest edit, of
+# equal ones the least letter (none, where the conversation may end, before any).
+_STATES = ((0, 2), (1, 2), (2, 3), (3, 2))  # start, after system, user, assistant; the next role
+
+
+def _least(x: int, y: int) -> str:
+    """Cost of state x before a row, without insertions, by the costs after it."""
+    keep = f"case when who = {y} then 0 else 3 end"
+    system = ", case when who = 1 and fault < 2 then v1 + extra end" if x == 0 else ""
+    return f"least(v{x} + 4, case when fault < 2 then v{y} + extra + {keep} end{system})"
+
+
+_BACK = ", ".join(f"{_least(x, y)} as b{x}" for x, y in _STATES)
+_IN = ", ".join(f"least(b{x}, b{y} + 3, b{dict(_STATES)[y]} + 6) as v{x}" for x, y in _STATES)
+_NEXT = "case x when 0 then 2 when 1 then 2 when 2 then 3 else 2 end"
+
+
+def _at(prefix: str, state: str) -> str:
+    return f"case {state} when 0 then {prefix}0 when 1 then {prefix}1 when 2 then {prefix}2 else {prefix}3 end"
+
+
+CONVERSATIONS = rf"""
+with recursive tab as materialized (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)),
+                          lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from range(256) r(i))),
+hit as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         xor(list_reduce(list_prepend(4294967295::bigint, [ord(ch)::bigint for ch in string_split(
+               coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '')]),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as hit
+  from conversations, tab),
+damaged as (
+  select conv_id, turn, case when hit = 4 then 'user' else role end as role,
+         case when hit = 1 then '' when hit = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(case when hit = 0 then [] when hit = 3 then [0, 1] else [0] end) as copy from hit)),
+numbered as (
+  select *, row_number() over (partition by conv_id, role, text order by i) as nth,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') as said
+  from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i
+        from damaged)),
+rows_ as materialized (
+  select *, case left(role, 1) when 's' then 1 when 'u' then 2 when 'a' then 3 else 0 end as who,
+         case when said = '' then 3 when nth > 1 then 2 when right(said, 1) not in ('.', '!', '?') then 1
+              else 0 end as fault,
+         case when said <> '' and nth = 1 and right(said, 1) not in ('.', '!', '?') then 3 else 0 end as extra
+  from numbered),
+size as materialized (select conv_id, count(*) as n from rows_ group by conv_id),
+back as (
+  select conv_id, n as i, 0 as v0, 6 as v1, 3 as v2, 0 as v3 from size
+  union all
+  select conv_id, i - 1 as i, {_IN} from (
+    select back.conv_id, back.i, {_BACK}
+    from back join rows_ on rows_.conv_id is not distinct from back.conv_id and rows_.i = back.i)),
+cost as materialized (select * from back),
+walk as (
+  select size.conv_id, 0::bigint as i, 0 as x, '' as audit, [] :: varchar[] as lines, 0 as ended from size
+  union all
+  select conv_id, case when pick in ('I', '') then i else i + 1 end as i,
+         case when pick in ('D', '') then x when pick = 'K' and who = 1 then 1 else y end as x,
+         audit || pick as audit,
+         case when pick in ('D', '') then lines
+              else list_append(lines, case when pick = 'K' then role else full_role end || ':'
+                                      || case when pick = 'I' then '' else text end) end as lines,
+         case when pick = '' then 1 else 0 end as ended
+  from (
+    select *, case when y = 2 then 'user' else 'assistant' end as full_role,
+           case when i = n and x in (0, 3) then ''
+                when i < n and least_cost = d + 4 then 'D'
+                when least_cost = own + 3 then 'I'
+                when fault < 2 and ((who = y and least_cost = after_y + extra)
+                     or (x = 0 and who = 1 and least_cost = after_s + extra)) then 'K'
+                else 'R' end as pick
+    from (
+      select walk.conv_id, walk.i, walk.x, walk.audit, walk.lines, size.n, rows_.role, rows_.text,
+             rows_.who, rows_.fault, rows_.extra, {_NEXT} as y,
+             {_at('here.v', 'walk.x')} as least_cost, {_at('here.v', _NEXT)} as own,
+             {_at('after_.v', 'walk.x')} as d, {_at('after_.v', _NEXT)} as after_y, after_.v1 as after_s
+      from walk join size on size.conv_id is not distinct from walk.conv_id
+      join cost here on here.conv_id is not distinct from walk.conv_id and here.i = walk.i
+      left join cost after_ on after_.conv_id is not distinct from walk.conv_id and after_.i = walk.i + 1
+      left join rows_ on rows_.conv_id is not distinct from walk.conv_id and rows_.i = walk.i + 1
+      where walk.ended = 0))),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (where fault = 3) as blank, count(*) filter (where fault = 2) as duplicate,
+         count(*) filter (where fault = 1) as truncated,
+         count(*) filter (where before is not null and left(before, 1) || left(role, 1)
+                          not in ('su', 'ua', 'au')) as illegal
+  from (select *, lag(role) over (partition by conv_id order by i) as before from rows_) group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+       coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, coalesce(cost.v0, 0)::bigint as cost,
+       coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counts on counts.conv_id is not distinct from c.conv_id
+left join cost on cost.conv_id is not distinct from c.conv_id and cost.i = 0
+left join walk on walk.conv_id is not distinct from c.conv_id and walk.ended = 1
+"""

@@ -115,6 +115,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate_fm": oracle.DECONTAMINATE,
         "op5_quality_rules": oracle.QUALITY,
         "op9_warc_roundtrip": oracle.WARC,
+        "op13_conversation_repair": oracle.CONVERSATIONS,
         "op11_ball_tree_search": oracle.LEXICAL,
         "op7_license_scan": oracle.licenses(license_scan.TEMPLATES, license_scan.PERCENT),
     }
