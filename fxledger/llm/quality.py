@@ -118,7 +118,7 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, the measurements, ``fail_bits``."""
-    return _judged(docs).select("doc.doc_id", "out.*", "fail_bits")
+    return _judged(docs.select("doc_id", "text")).select("doc.doc_id", "out.*", "fail_bits")
 
 
 def apply_policy(led: DataFrame, policy: Policy = DEFAULT) -> DataFrame:

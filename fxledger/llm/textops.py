@@ -157,11 +157,10 @@ def rowwise(docs: DataFrame, fn: Callable[[pa.Array], list], fields: str,
             column: str = "text") -> DataFrame:
     """``docs`` as a struct column ``doc`` beside a struct column ``out`` that
     ``fn`` computes from the text column, batch by batch.  Keeping the input in
-    a struct means extra columns can never clash with the computed ones."""
-    spark = docs.sparkSession
+    a struct means extra columns can never clash with the computed ones.  All columns
+    of ``docs`` cross to Python: a caller that needs few selects them first."""
     out = T._parse_datatype_string(fields) if isinstance(fields, str) else fields
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                         F.col(f"`{column}`").alias("text"))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     schema = T.StructType([source.schema["doc"], T.StructField("out", out)])
     names = out.fieldNames()
 
@@ -172,9 +171,8 @@ def rowwise(docs: DataFrame, fn: Callable[[pa.Array], list], fields: str,
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.StructArray.from_arrays(
                         [pa.array(x) if isinstance(x, np.ndarray) else x
-                         for x in fn(part.column(1))], names)], ["doc", "out"])
+                         for x in fn(part.column(0).field(column))], names)], ["doc", "out"])
 
-    assert spark is not None
     return source.mapInArrow(freed(run), schema)
 
 

@@ -228,4 +228,4 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         z = margin(shared.value, *terms(text))
         return [1 / (1 + np.exp(-np.clip(z, -30, 30)))]
 
-    return tx.rowwise(docs, run, "struct<score:double>").select("doc.doc_id", "out.score")
+    return tx.rowwise(docs.select("doc_id", "text"), run, "struct<score:double>").select("doc.doc_id", "out.score")

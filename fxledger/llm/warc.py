@@ -27,13 +27,14 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fxledger.llm import files
 from fxledger.llm.memory import freed
 from fxledger.session import write_scratch
 
 MIN_DUPLICATE = 100
+FILE_BYTES = 1 << 30   # a longer archive is closed, and the task goes on in a new one
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -96,22 +97,29 @@ def write(pages: DataFrame, path: str, level: int = 6,
     later step can make the archives be written again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size, starts = None, 0, array("q")
-        name = f"{path}/{files.attempt_name('pages', '.warc.gz')}"
+        out, size, starts, name = None, 0, array("q"), ""
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({
+                "file": [name], "bytes": [size], "records": [len(starts)],
+                "starts": pa.array([starts], pa.list_(pa.int64()))})
+
         for batch in batches:
             cols = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")]
             for i in range(batch.num_rows):
                 if out is None:
-                    out = files.create(name)
+                    name = f"{path}/{files.attempt_name('pages', '.warc.gz')}"
+                    out, size, starts = files.create(name), 0, array("q")
                 data = _member(record(*[c[i].as_py() for c in cols]), level)
                 out.write(data)
                 starts.append(size)
                 size += len(data)
+                if size >= FILE_BYTES:
+                    yield closed()
+                    out = None
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({
-                "file": [name], "bytes": [size], "records": [len(starts)],
-                "starts": pa.array([starts], pa.list_(pa.int64()))})
+            yield closed()
 
     rows = classify(pages, min_duplicate).select("page_id", "url", "payload", "digest", "refers_to")
     return write_scratch(rows.mapInArrow(freed(run), MANIFEST), "warc-manifest")
@@ -203,13 +211,37 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = T
     their number is not the manifest's."""
     sound = F.when(F.size("starts") == F.col("records"), F.col("starts")).otherwise(
         F.raise_error(F.concat(F.lit("the manifest does not hold a start for each record of "), "file")))
-    here = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("bytes", F.lit(1)) - 1,
-                                F.lit(split_bytes).cast("long")))
-    ranges = (manifest.select("file", "bytes", sound.alias("starts"), here.alias("start"))
-              .select("file", "bytes", "start", F.size(F.filter("starts", lambda s: (
-                  s >= F.col("start")) & (s < F.col("start") + split_bytes))).alias("records")))
+    # how many records start in each range, without the list of starts beside every range
+    counts = (manifest.select(F.col("file").alias("of"), F.explode(sound).alias("at"))
+              .groupBy("of", F.floor(F.col("at") / split_bytes).alias("number"))
+              .agg(F.count(F.lit(1)).alias("records")))
+    ranges = _ranges(manifest, split_bytes)
+    known = ranges.join(counts, (F.col("file") == F.col("of"))
+                        & (F.floor(F.col("start") / split_bytes) == F.col("number")), "left")
+    return _read(known.select("file", "bytes", "start", F.coalesce("records", F.lit(0)).alias("records")),
+                 split_bytes, payloads)
+
+
+def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES,
+                  payloads: bool = True) -> DataFrame:
+    """The records of gzip archives below a path that this module wrote, without their
+    manifest (so without a check of their number)."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", "*.warc.gz").load(path)
+              .select(F.regexp_replace("path", "^file:/*", "/").alias("file"), F.col("length").alias("bytes")))
+    return _read(_ranges(listed, split_bytes).withColumn("records", F.lit(None).cast("long")), split_bytes,
+                 payloads)
+
+
+def _ranges(files_: DataFrame, split_bytes: int) -> DataFrame:
+    return files_.select("file", "bytes", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.greatest("bytes", F.lit(1)) - 1, F.lit(split_bytes).cast("long")))
+        .alias("start"))
+
+
+def _read(ranges: DataFrame, split_bytes: int, payloads: bool) -> DataFrame:
     # one short row for each range; dealt evenly, as ranges cost alike
-    spark = manifest.sparkSession
+    spark = ranges.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism,
                 int(spark.conf.get("spark.sql.shuffle.partitions")))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
@@ -231,7 +263,7 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = T
                         rows, held = [], 0
                 if rows:
                     yield _batch(rows, schema)
-                if found != row["records"]:
+                if row["records"] is not None and found != row["records"]:
                     raise ValueError(f"{found} records instead of {row['records']} start in "
                                      f"{row['file']} from {row['start']} on")
 

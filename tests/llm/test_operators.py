@@ -421,6 +421,15 @@ def test_warc_long_urls(spark, split):
     assert {r["page_id"]: r["url"] for r in got}[1] == rows[0][1]
 
 
+def test_warc_without_a_manifest(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "body %d " % (i % 7) * 40) for i in range(200)],
+                                  "page_id long, url string, html string")
+    path = files.folder(spark, "warc-plain")
+    manifest = warc.write(pages, path)
+    with_it = sorted(map(repr, warc.read(manifest, split_bytes=5000).collect()))
+    assert sorted(map(repr, warc.read_archives(spark, path, split_bytes=5000).collect())) == with_it
+
+
 def test_warc_lost_records_fail(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", "x" * 50) for i in range(9)],
                                   "page_id long, url string, html string").coalesce(1)
