@@ -8,7 +8,10 @@ tests; on a cluster the session comes from the platform.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,9 +66,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_scopes = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder, for written tables."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared checkpoint folder, for written tables.  It
+    belongs to the innermost open ``scratch_scope``, if there is one."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
+    return path
+
+
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at its end, the scratch folders that were made inside.  Tables that
+    read them must have been used up by then."""
+    stack = _scopes.open = getattr(_scopes, "open", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            delete_scratch(spark, path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """The table that ``make`` builds, written to a scratch folder (the second result);
+    what was written on the way is deleted."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), path
 
 
 def materialise(df: DataFrame) -> DataFrame:
