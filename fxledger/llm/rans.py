@@ -129,9 +129,10 @@ def decode_block(raw: bytes, n: int, lanes: int, table: Table) -> np.ndarray:
 
 
 def _tokenise(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
-    """pos (the place in ascending order of doc_id), doc_id, n and ids, packed, as a
-    stored table.  Texts move once, to their range of keys.  Each task adds a row
-    without a place: how often it met each id."""
+    """Runs of documents as a stored table: pos (the place of the first in ascending order
+    of doc_id), their ids and numbers of tokens, and the tokens, packed.  Texts move
+    once, to their range of keys.  Each task adds a row without a place: how often it
+    met each id."""
 
     def encoded(batches):
         pack = zstandard.ZstdCompressor(level=3)
@@ -140,30 +141,41 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) ->
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
                 ids = tokens.encode_column(b.column("text"), tokenizer, end_id)
-                total += np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=vocabulary)
-                wide = [np.frombuffer(x, "<u4") for x in ids]
-                narrow = [w.astype("<u2") if w.max(initial=0) < 65536 else w for w in wide]
+                flat = np.frombuffer(b"".join(ids), "<u4")
+                total += np.bincount(flat, minlength=vocabulary)
+                width = 2 if flat.max(initial=0) < 65536 else 4
+                doc = b.column("doc_id")
+                keys = (doc.is_null().to_numpy(zero_copy_only=False).astype("<i8"),
+                        doc.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"),
+                        np.array([len(x) // 4 for x in ids], "<i8"))
+                first = b.column("pos")[0].as_py() if b.num_rows else None
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("pos"), b.column("doc_id"), pa.array([len(w) for w in wide], pa.int64()),
-                     pa.array([w.itemsize for w in narrow], pa.int32()),
-                     pa.array([pack.compress(w.tobytes()) for w in narrow], pa.binary())],
-                    ["pos", "doc_id", "n", "width", "z"])
+                    [pa.array([first], pa.int64()), pa.array([np.concatenate(keys).tobytes()], pa.binary()),
+                     pa.array([width], pa.int32()),
+                     pa.array([pack.compress(flat.astype(f"<u{width}").tobytes())], pa.binary())],
+                    ["pos", "keys", "width", "z"])
         if total.any():
             yield pa.RecordBatch.from_pydict(
-                {"pos": pa.array([None], pa.int64()), "doc_id": pa.array([None], pa.int64()),
-                 "n": [int(total.sum())], "width": pa.array([8], pa.int32()),
-                 "z": pa.array([pack.compress(total.astype("<i8").tobytes())], pa.binary())})
+                {"pos": pa.array([None], pa.int64()), "keys": pa.array([None], pa.binary()),
+                 "width": pa.array([8], pa.int32()), "z": pa.array([pack.compress(total.astype("<i8").tobytes())], pa.binary())})
 
     dealt = (docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
              .select(F.monotonically_increasing_id().alias("pos"), "doc_id", "text"))
     return write_scratch(dealt.mapInArrow(
-        freed(encoded), "pos long, doc_id long, n long, width int, z binary"), "token-ids")
+        freed(encoded), "pos long, keys binary, width int, z binary"), "token-ids")
 
 
-def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """(place, doc_id, ids) of the documents of stored runs."""
     unpack = zstandard.ZstdDecompressor()
-    for z, width in zip(batch.column("z").to_pylist(), batch.column("width").to_pylist(), strict=True):
-        yield np.frombuffer(unpack.decompress(z), f"<u{width}")
+    for pos, keys, width, z in zip(*(batch.column(c).to_pylist() for c in ("pos", "keys", "width", "z")),
+                                   strict=True):
+        flat = np.frombuffer(unpack.decompress(z), f"<u{width}")
+        null, doc, n = (x.tolist() for x in np.frombuffer(keys, "<i8").reshape(3, -1))
+        at = 0
+        for i, d in enumerate(doc):
+            yield pos + i, None if null[i] else d, flat[at:at + n[i]]
+            at += n[i]
 
 
 def count(ids: DataFrame, vocabulary: int) -> np.ndarray:
@@ -226,8 +238,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
                 "documents": [n_docs], "ids": [total]})
 
         for batch in batches:
-            for pos, d, x in zip(batch.column("pos").to_pylist(), batch.column("doc_id").to_pylist(),
-                                 _ids(batch), strict=True):
+            for pos, d, x in _documents(batch):
                 if out is not None and pos != last + 1:
                     yield finish()
                     out = None
@@ -245,7 +256,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
         if out is not None:
             yield finish()
 
-    placed = ids.where(F.col("pos").isNotNull()).select("pos", "doc_id", "width", "z")
+    placed = ids.where(F.col("pos").isNotNull()).select("pos", "keys", "width", "z")
     return write_scratch(placed.mapInArrow(freed(run), MANIFEST),
                          "rans-manifest")
 

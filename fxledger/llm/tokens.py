@@ -41,23 +41,30 @@ def _line(piece: str) -> tuple[str, str] | None:
     return (left, right) if left and right and not left[-1].isspace() and not right[0].isspace() else None
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < 16 else struct.pack("<%dI" % len(ids), *ids)
+
+
 class _Pieces(dict):
     """ids (little-endian unsigned 32-bit) of a piece that follows ``lead``."""
 
     def __init__(self, tokenizer: Tokenizer, lead: str, bare: "_Pieces | None"):
         super().__init__()
-        self.tokenizer, self.model, self.lead, self.bare = tokenizer, tokenizer.model, lead, bare
+        self.tokenizer, self.tokenize, self.lead, self.bare = tokenizer, tokenizer.model.tokenize, lead, bare
+        self.beside = () if bare is None else bare  # the other dictionary under one limit
         self.stand_in = _alphabet()
         self.first = "".join(self.stand_in[b] for b in lead.encode())
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) + len(self._bare()) >= CACHE_PIECES:
+        if len(self) + len(self.beside) >= CACHE_PIECES:
             self.clear()
             self._bare().clear()
         if piece.isalpha():  # one pre-token: no cut can fall inside letters
             plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.stand_in)
-            ids = [t.id for t in self.model.tokenize(self.first + plain)]
-            got = self[piece] = struct.pack("<%dI" % len(ids), *ids)
+            got = self[piece] = _packed([t.id for t in self.tokenize(self.first + plain)])
             return got
         core = piece.rstrip(PUNCTUATION)
         if core != piece and core.isalpha():  # letters, then other signs: two pre-tokens
@@ -67,7 +74,7 @@ class _Pieces(dict):
             return self[parts[0]] + self._bare()["\n"] + self._bare()[parts[1]]
         else:
             ids = self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids
-            got = struct.pack("<%dI" % len(ids), *ids)
+            got = _packed(ids)
         self[piece] = got
         return got
 
