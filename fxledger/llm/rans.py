@@ -128,14 +128,15 @@ def decode_block(raw: bytes, n: int, lanes: int, table: Table) -> np.ndarray:
     return ids
 
 
+COUNTS = 0  # the width of a row that holds counts
+
+
 def _tokenise(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
-    """Runs of documents as a stored table: pos (the place of the first in ascending order
-    of doc_id), their ids and numbers of tokens, and the tokens, packed.  Texts move
-    once, to their range of keys.  Each task adds a row without a place: how often it
-    met each id."""
+    """doc_id, width (bytes of an id) and the ids of every document as a stored table,
+    made where the texts are read.  Each task adds a row of width ``COUNTS``: how often
+    it met each id."""
 
     def encoded(batches):
-        pack = zstandard.ZstdCompressor(level=3)
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -144,38 +145,21 @@ def _tokenise(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) ->
                 flat = np.frombuffer(b"".join(ids), "<u4")
                 total += np.bincount(flat, minlength=vocabulary)
                 width = 2 if flat.max(initial=0) < 65536 else 4
-                doc = b.column("doc_id")
-                keys = (doc.is_null().to_numpy(zero_copy_only=False).astype("<i8"),
-                        doc.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"),
-                        np.array([len(x) // 4 for x in ids], "<i8"))
-                first = b.column("pos")[0].as_py() if b.num_rows else None
+                size = np.array([len(x) // 4 for x in ids])
+                ends = np.concatenate([[0], np.cumsum(size)]) * width
+                raw = flat.astype(f"<u{width}").tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([first], pa.int64()), pa.array([np.concatenate(keys).tobytes()], pa.binary()),
-                     pa.array([width], pa.int32()),
-                     pa.array([pack.compress(flat.astype(f"<u{width}").tobytes())], pa.binary())],
-                    ["pos", "keys", "width", "z"])
+                    [b.column("doc_id"), pa.array(np.full(len(ids), width, np.int32)),
+                     pa.array([raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())],
+                    ["doc_id", "width", "ids"])
         if total.any():
-            yield pa.RecordBatch.from_pydict(
-                {"pos": pa.array([None], pa.int64()), "keys": pa.array([None], pa.binary()),
-                 "width": pa.array([8], pa.int32()), "z": pa.array([pack.compress(total.astype("<i8").tobytes())], pa.binary())})
-
-    dealt = (docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-             .select(F.monotonically_increasing_id().alias("pos"), "doc_id", "text"))
-    return write_scratch(dealt.mapInArrow(
-        freed(encoded), "pos long, keys binary, width int, z binary"), "token-ids")
-
+            packed = zstandard.ZstdCompressor(level=3).compress(total.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], pa.int64()), pa.array([COUNTS], pa.int32()), pa.array([packed], pa.binary())],
+                ["doc_id", "width", "ids"])
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, int | None, np.ndarray]]:
-    """(place, doc_id, ids) of the documents of stored runs."""
-    unpack = zstandard.ZstdDecompressor()
-    for pos, keys, width, z in zip(*(batch.column(c).to_pylist() for c in ("pos", "keys", "width", "z")),
-                                   strict=True):
-        flat = np.frombuffer(unpack.decompress(z), f"<u{width}")
-        null, doc, n = (x.tolist() for x in np.frombuffer(keys, "<i8").reshape(3, -1))
-        at = 0
-        for i, d in enumerate(doc):
-            yield pos + i, None if null[i] else d, flat[at:at + n[i]]
-            at += n[i]
+    return write_scratch(docs.select("doc_id", "text").mapInArrow(
+        freed(encoded), "doc_id long, width int, ids binary"), "token-ids")
 
 
 def count(ids: DataFrame, vocabulary: int) -> np.ndarray:
@@ -185,12 +169,12 @@ def count(ids: DataFrame, vocabulary: int) -> np.ndarray:
         unpack = zstandard.ZstdDecompressor()
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for z in batch.column("z").to_pylist():
+            for z in batch.column("ids").to_pylist():
                 total += np.frombuffer(unpack.decompress(z), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = (ids.where(F.col("pos").isNull()).select("z").mapInArrow(freed(run), "id long, n long")
+    rows = (ids.where(F.col("width") == COUNTS).select("ids").mapInArrow(freed(run), "id long, n long")
             .groupBy("id").agg(F.sum("n").alias("n")).toArrow())
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
@@ -208,8 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
     shared = spark.sparkContext.broadcast(table)  # a fixed size: the vocabulary and 2**scale slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a read partition may hold several token files, in any order, so a file
-        # of blocks ends where the next document is not the neighbour
+        # a file of blocks ends where the next document is not the neighbour
         table, out, size, index, name, last = shared.value, None, 0, [], "", None
         docs_, parts, held, total, n_docs, first = [], [], 0, 0, 0, None
 
@@ -238,7 +221,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
                 "documents": [n_docs], "ids": [total]})
 
         for batch in batches:
-            for pos, d, x in _documents(batch):
+            for pos, d, width, ids in zip(*(batch.column(c).to_pylist() for c in ("pos", "doc_id", "width", "ids")),
+                                          strict=True):
+                x = np.frombuffer(ids, f"<u{width}")
                 if out is not None and pos != last + 1:
                     yield finish()
                     out = None
@@ -256,7 +241,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> DataFr
         if out is not None:
             yield finish()
 
-    placed = ids.where(F.col("pos").isNotNull()).select("pos", "keys", "width", "z")
+    # packed ids move once, to their range of keys, and are coded where they are sorted
+    placed = (ids.where(F.col("width") != COUNTS).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+              .select(F.monotonically_increasing_id().alias("pos"), "doc_id", "width", "ids"))
     return write_scratch(placed.mapInArrow(freed(run), MANIFEST),
                          "rans-manifest")
 
