@@ -17,7 +17,7 @@ def plan(df) -> str:
 def test_no_python_or_cartesian_nodes(spark):
     for name, q in Q.queries().items():
         p = plan(q(spark, SF))
-        for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct",
+        for bad in ("BatchEvalPython", "ArrowEvalPython", "MapInArrow", "MapInPandas", "CartesianProduct",
                     "BroadcastNestedLoopJoin"):
             assert bad not in p, (name, bad)
 
