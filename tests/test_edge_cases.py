@@ -261,6 +261,31 @@ def test_store_expiry_query_runs_retention_on_disk(spark, monkeypatch, tmp_path)
     assert sorted((r.ticker, r.old_price) for r in left) == [("U2", 2.0), ("U2", 3.0), ("U3", 4.0)]
 
 
+def test_store_expiry_query_keeps_writes_of_twenty_days(spark, tmp_path):
+    from fxledger.plans.queries import queries
+
+    spark.createDataFrame(  # twenty days before 2024-02-09 18:00 is 2024-01-20 18:00
+        [(1, dt.datetime(2024, 1, 2, 9), 1, 1.0), (2, dt.datetime(2024, 1, 20, 18), 1, 2.0),
+         (3, dt.datetime(2024, 1, 20, 17, 59), 2, 3.0), (4, dt.datetime(2024, 1, 25, 9), 3, 4.0)],
+        "event_id long, ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    left = queries()["store_expiry"](spark, str(tmp_path)).collect()
+    assert sorted((r.ticker, r.old_price) for r in left) == [("U1", 1.0), ("U1", 2.0), ("U3", 4.0)]
+
+
+@pytest.mark.parametrize("days", [10, 11])
+def test_store_expiry_removes_some_symbols_at_a_shorter_age(spark, monkeypatch, days):
+    from fxledger.plans import params
+    from fxledger.plans.oracle import oracle_sql
+    from fxledger.plans.queries import queries
+    from oracle_check import compare, duck
+
+    sf_dir = "/root/testdata/sf0.001"
+    monkeypatch.setattr(params, "EXPIRY_DAYS", days)
+    sql = oracle_sql()["store_expiry"].replace("interval 20 day", f"interval {days} day")
+    n = compare(spark, duck(sf_dir), queries()["store_expiry"], sql, sf_dir)
+    assert 0 < n < 397
+
+
 def test_expire_is_strict(spark):
     bars = spark.createDataFrame([("A", 1.0, d(1), dt.datetime(2024, 1, 1)),
                                   ("B", 1.0, d(1), dt.datetime(2023, 12, 31, 23, 59))],
