@@ -156,6 +156,19 @@ def test_coerce_day_text(spark):
     assert got == [D(2001, 1, 5), D(2001, 1, 5), D(2001, 1, 5), D(2024, 5, 31), None]
 
 
+def test_coercions_try_only_text_that_can_be_read(spark):
+    vals = ["1e3", "+.5", "0x1p3", "12abc", "INF", "-infinity", "+nan", "\t7\n", "nanf", "3 "]
+    df = spark.createDataFrame([(v,) for v in vals], "x string")
+    assert [r.y for r in df.select(coerce_numeric("x").alias("y")).collect()] == [
+        1000.0, 0.5, 8.0, None, float("inf"), float("-inf"), None, 7.0, None, 3.0]
+    days = ["1/2/2026", "13/2/2026", "2/13/2026", "-1/2/2026", "1/2/+12026", "1/2/26", "a/b/2026", "//", "1/2",
+            "2026-01-05 10:00:00 Europe/London", "2026", " 1/2/2026 ", "1/2/2026x"]
+    df = spark.createDataFrame([(v,) for v in days], "x string")
+    assert [r.y for r in df.select(coerce_day("x").cast("string").alias("y")).collect()] == [
+        "2026-01-02", "2026-02-13", "2026-02-13", None, "+12026-01-02", None, None, None, None, "2026-01-05",
+        "2026-01-01", "2026-01-02", None]
+
+
 def test_epochs(spark):
     df = spark.createDataFrame([(1704067207,), (1704067207123,), (-1704067207,), (None,)], "x long")
     got = [r.y for r in df.select(epoch_to_day("x").alias("y")).collect()]

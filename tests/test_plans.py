@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+from pyspark.sql import functions as F
 
 from fxledger.operators import clean, convert, history
 from fxledger.plans import queries as Q
@@ -58,3 +59,11 @@ def test_store_symbol_lookup_prunes_buckets(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)\]", p), p
     assert sorted(r.ticker for r in df.collect()) == ["T3", "T7"]
+
+
+def test_rejected_bars_are_coerced_once(spark):
+    raw = spark.createDataFrame([("A", "1.5", "2024-01-01")], "ticker string, price string, day string")
+    text = raw.select("ticker", F.concat("price", F.lit("")).alias("old_price"), F.concat("day", F.lit("")).alias("date"))
+    for part in clean.split_bars(clean.tag_bars(text)):
+        p = part._jdf.queryExecution().optimizedPlan().toString()
+        assert p.count("M/d/yyyy") == 1 and p.count("try_cast") == 2, p
