@@ -229,6 +229,82 @@ def test_frequent_shingles_are_counted_over_all_documents(spark):
     assert not jaccard_join.frequent(docs.limit(0)).any()
 
 
+def test_rare_shingles_come_first_in_heads(spark, docs):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, shared + " " + " ".join(f"d{i}w{k}" for k in range(200))) for i in range(2)]
+    rows += [(2, "a b c d e f g"), (3, "a b c d e f g h")]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    led = jaccard_join._led(jaccard_join._heads(df, 2)).select("s").distinct().collect()
+    want = {jaccard_join.set_id(x) for x in jaccard_join.shingles(pa.array([t for _, t in rows[2:]]))}
+    assert {r["s"] for r in led} <= want  # the first two share 36 shingles, but have 200 rarer ones each
+    got = by_id(jaccard_join.near_duplicates(df), "n_shingles", "component_id")
+    assert got == brute.components(rows)
+
+
+@pytest.mark.parametrize("others", [2, 70])
+def test_large_sets_without_a_partner_are_sifted_out(spark, docs, others):
+    near = [f"n{i}" for i in range(9000)]
+    rows = [(k, " ".join(f"{k}a{i}" for i in range(9000))) for k in range(others)]
+    rows += [(1000, " ".join(near)), (1001, " ".join(["edit", *near[1:]])), (1002, "short")]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard_join._sets(df).where("s is not null").cache()
+    block = sets.select(F.lit(1).cast("long").alias("block"), F.col("key").alias("rep"), "s",
+                        F.lit(None).cast("long").alias("label"))
+    kept = jaccard_join._sift(block, sets.select(F.col("s").alias("set"), "vec")).collect()
+    assert sorted(r["rep"] for r in kept) == [1000, 1001]
+
+
+def test_only_texts_with_a_possible_partner_move(docs, rows, monkeypatch):
+    moved, squeezed = [], jaccard_join.repeats.squeezed
+
+    def spy(some):
+        moved.append({r["doc_id"] for r in some.select("doc_id").collect()})
+        return squeezed(some)
+
+    monkeypatch.setattr(jaccard_join.repeats, "squeezed", spy)
+    got = by_id(jaccard_join.near_duplicates(docs), "n_shingles", "component_id")
+    assert got == brute.components(rows)
+    assert any(moved) and all(len(m) < len(rows) / 2 for m in moved)
+
+
+def test_a_large_family_meets_the_others_of_its_leader_once(spark, docs, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(60)] = f"e{i}"
+        rows.append(" ".join(w))
+    for i in range(30):
+        at = rng.randrange(50)
+        rows.append(" ".join(base[at:at + 8] + [f"u{i}"] * rng.randint(0, 2)))
+    rows = list(enumerate(rows))
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    sifted, sift = [], jaccard_join._sift
+
+    def spy(blocks, vectors):
+        sifted.append(blocks.count())
+        return sift(blocks, vectors)
+
+    monkeypatch.setattr(jaccard_join, "_sift", spy)
+    got = by_id(jaccard_join.near_duplicates(df, block=20), "n_shingles", "component_id")
+    assert got == brute.components(rows)
+    assert len(sifted) == 3 and sifted[2] < 3 * sifted[1]
+
+
+def test_across_lets_different_components_meet(spark):
+    rng = random.Random(13)
+    for shape in ([30, 1, 1, 2], [7] * 6, [1] * 25, [40, 30]):
+        label = [i for i, n in enumerate(shape) for _ in range(n)]
+        rows = [(5, rng.getrandbits(40), 100 + i, x) for i, x in enumerate(label)]
+        df = spark.createDataFrame(rows, "leader long, s long, rep long, label long")
+        blocks = {}
+        for r in jaccard_join._across(df, 4).collect():
+            blocks.setdefault(r["block"], set()).add((r["rep"], r["label"]))
+        met = {(a, b) for m in blocks.values() for a, x in m for b, y in m if x != y}
+        assert met == {(a, b) for _, _, a, x in rows for _, _, b, y in rows if x != y}
+
+
 def test_rtree_prunes_nothing_linked():
     rng = random.Random(6)
     sets = []
